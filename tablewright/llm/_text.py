@@ -106,7 +106,8 @@ def whole_windows(owner: np.ndarray, size: int) -> np.ndarray:
 
 def covered(hit: np.ndarray, size: int, n: int) -> np.ndarray:
     """Which of ``n`` values some window with ``hit`` set covers."""
-    change = np.zeros(n + 1, np.int32)
+    hit = hit[: max(0, n - size + 1)]
+    change = np.zeros(n + size + 1, np.int32)
     change[: len(hit)] += hit
     change[size : size + len(hit)] -= hit
     return np.cumsum(change[:n]) > 0
