@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import license_scan, mixing, quality_rules, rlz_dedup, sharding
+from tablewright.llm import ctw_scoring, license_scan, mixing, quality_rules, rlz_dedup, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
+def op5_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_scoring.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,8 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_ctw_score": op5_ctw_score,
     "op7_source_mix": op7_source_mix,
     "op9_license_scan": op9_license_scan,
     "op10_byte_shards": op10_byte_shards,

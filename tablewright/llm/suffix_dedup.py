@@ -135,7 +135,7 @@ class _Runs:
     def __init__(self, block: X.Block, size: int):
         values = T.byte_values(block.buf)
         anchor = min(ANCHOR, size)
-        doc = np.repeat(np.arange(len(block)), np.diff(block.starts))
+        doc = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(block.starts))
         self.doc = doc
         whole = T.whole_windows(doc, size)
         self.sums = T.prefix_hashes(values)
