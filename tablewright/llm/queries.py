@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import ctw_scoring, license_scan, mixing, quality_rules, rlz_dedup, sharding, suffix_dedup
+from tablewright.llm import ctw_scoring, license_scan, mixing, order_minhash, quality_rules, rlz_dedup, sharding, suffix_dedup, wfst_tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,18 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst_tokenizer.encode_documents(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_scoring.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,9 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_ctw_score": op5_ctw_score,
+    "op6_order_minhash": op6_order_minhash,
     "op7_source_mix": op7_source_mix,
     "op9_license_scan": op9_license_scan,
     "op10_byte_shards": op10_byte_shards,
