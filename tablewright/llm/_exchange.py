@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm._spark import durable, partitions
@@ -74,7 +75,22 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK
             yield pa.RecordBatch.from_pylist([_pack(number, ids, texts)], schema)
 
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return durable(slim.mapInArrow(gather, BLOCK_SCHEMA))
+    with small_batches(docs.sparkSession):
+        return durable(slim.mapInArrow(gather, BLOCK_SCHEMA))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, records: int = 256, size: str = "8m"):
+    """Hand Python few texts at a time while an action inside runs."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(records), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def unpack(batch: pa.RecordBatch) -> Iterator[tuple[Block, int]]:
