@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import ctw_scoring, license_scan, mixing, order_minhash, quality_rules, rlz_dedup, sharding, suffix_dedup, wfst_tokenizer
+from tablewright.llm import ctw_scoring, license_scan, mixing, order_minhash, quality_rules, rlz_dedup, rp_forest, sharding, suffix_dedup, wfst_tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_ctw_score": op5_ctw_score,
     "op6_order_minhash": op6_order_minhash,
     "op7_source_mix": op7_source_mix,
+    "op8_rp_forest": op8_rp_forest,
     "op9_license_scan": op9_license_scan,
     "op10_byte_shards": op10_byte_shards,
 }
