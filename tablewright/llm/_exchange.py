@@ -30,10 +30,14 @@ NULL_ID = np.iinfo(np.int64).max
 
 
 class Block:
-    """Documents of a block: ``ids``, ``buf`` (all bytes) and ``starts``."""
+    """Documents of a block: ``ids``, ``buf`` (all bytes), ``starts``, other columns."""
 
-    def __init__(self, number: int, ids: np.ndarray, starts: np.ndarray, buf: np.ndarray):
-        self.number, self.ids, self.starts, self.buf = number, ids, starts, buf
+    def __init__(self, number: int, ids: np.ndarray, starts: np.ndarray, buf: np.ndarray, rest: bytes | None = None):
+        self.number, self.ids, self.starts, self.buf, self._rest = number, ids, starts, buf, rest
+
+    def rest(self) -> pa.Table:
+        """The columns that were carried along."""
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._rest)).read_all()
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -42,39 +46,53 @@ class Block:
         return pa.array(self.ids, pa.int64(), mask=self.ids == NULL_ID)
 
 
-BLOCK_SCHEMA = "block long, ids binary, starts binary, text binary"
+BLOCK_SCHEMA = "block long, ids binary, starts binary, text binary, rest binary"
 
 
-def _pack(number: int, ids: list, texts: list) -> dict:
+def _pack(number: int, ids: list, texts: list, rest: list[pa.RecordBatch]) -> dict:
+    packed = None
+    if rest:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest[0].schema) as writer:
+            for batch in rest:
+                writer.write_batch(batch)
+        packed = zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     return {
         "block": number,
         "ids": np.array(ids, np.int64).tobytes(),
         "starts": np.concatenate(([0], np.cumsum(sizes))).astype(np.int64).tobytes(),
         "text": zstandard.ZstdCompressor(level=1).compress(b"".join(texts)),
+        "rest": packed,
     }
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents as durable blocks; a null text is empty."""
+def blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The documents as durable blocks; a null text is empty, ``carry`` goes along."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
-        ids, texts, size = [], [], 0
-        schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("starts", pa.binary()), ("text", pa.binary())])
+        ids, texts, rest, size = [], [], [], 0
+        schema = pa.schema([("block", pa.int64()), *((f, pa.binary()) for f in ("ids", "starts", "text", "rest"))])
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+            begin = 0
+            others = batch.select(list(range(2, batch.num_columns)))
+            for j, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True), 1):
                 ids.append(NULL_ID if key is None else key)
                 texts.append(text or b"")
                 size += len(texts[-1]) + 16
                 if size >= block_bytes:
-                    yield pa.RecordBatch.from_pylist([_pack(number, ids, texts)], schema)
-                    number, ids, texts, size = number + 1, [], [], 0
+                    if carry:
+                        rest.append(others.slice(begin, j - begin))
+                    yield pa.RecordBatch.from_pylist([_pack(number, ids, texts, rest)], schema)
+                    number, ids, texts, rest, size, begin = number + 1, [], [], [], 0, j
+            if carry and begin < batch.num_rows:
+                rest.append(others.slice(begin))
         if ids:
-            yield pa.RecordBatch.from_pylist([_pack(number, ids, texts)], schema)
+            yield pa.RecordBatch.from_pylist([_pack(number, ids, texts, rest)], schema)
 
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
     with small_batches(docs.sparkSession):
         return durable(slim.mapInArrow(gather, BLOCK_SCHEMA))
 
@@ -98,7 +116,7 @@ def unpack(batch: pa.RecordBatch) -> Iterator[tuple[Block, int]]:
     for row in range(batch.num_rows):
         get = lambda n, row=row: batch.column(names[n])[row].as_py()
         text = zstandard.ZstdDecompressor().decompress(get("text"))
-        yield Block(get("block"), np.frombuffer(get("ids"), np.int64), np.frombuffer(get("starts"), np.int64), np.frombuffer(text, np.uint8)), row
+        yield Block(get("block"), np.frombuffer(get("ids"), np.int64), np.frombuffer(get("starts"), np.int64), np.frombuffer(text, np.uint8), get("rest")), row
 
 
 def pack_array(values: np.ndarray) -> bytes:

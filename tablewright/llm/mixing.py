@@ -133,3 +133,15 @@ def mix_sources(
     )
     taken = parts.join(slots, ["ordinal", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"))
     return laid.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """``docs`` repeated or left out as the mix takes them, columns unchanged.
+
+    A document stands as often as its taken words hold its size, rounded half
+    up.  Rows that repeat an id stand as often as the first of them would; a
+    null id is left out.
+    """
+    taken = mix_sources(docs, id_col=id_col, **settings).where("size > 0 and doc_id is not null")
+    times = taken.groupBy(F.col("doc_id").alias(id_col)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")).where("__times > 0")
+    return docs.join(times, id_col).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)

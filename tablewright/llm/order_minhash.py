@@ -284,3 +284,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.col("class_id").isNull()).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of :func:`near_duplicates`, columns unchanged.
+
+    Rows equal in id and text count as one; wordless texts all stay.
+    """
+    kept = near_duplicates(docs, least, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
+    some = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return some.select(docs.columns).union(docs.where(F.col(f"`{id_col}`").isNull()))

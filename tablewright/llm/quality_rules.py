@@ -107,14 +107,29 @@ def risk_controlled_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence_
     return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
+def _stratified(docs: DataFrame, stratum_col: str) -> DataFrame:
+    stratum = F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
+    return docs.withColumn("stratum", stratum)
+
+
+def _with_ratios(counted: DataFrame) -> DataFrame:
+    return counted.withColumns({name: F.expr(sql) for name, sql in RATIOS.items()})
+
+
+def _wide_cutoffs(metrics: DataFrame, labels: DataFrame, risk: float, confidence_error: float) -> DataFrame:
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    cutoffs = risk_controlled_cutoffs(metrics.join(good, "doc_id", "left_semi"), risk, confidence_error)
+    return durable(cutoffs.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RATIOS]))
+
+
+def _judged(metrics: DataFrame, wide: DataFrame) -> DataFrame:
+    hits = F.concat_ws(",", *[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RATIOS])
+    judged = metrics.join(wide, "stratum", "left").withColumns({"base_failed": F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"), "rules_hit": hits})
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rules_hit") == ""))
+
+
 def judge_quality(
-    docs: DataFrame,
-    labels: DataFrame,
-    risk: float = 0.02,
-    confidence_error: float = 0.05,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    stratum_col: str = "lang",
+    docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence_error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang"
 ) -> DataFrame:
     """One row per document: id, counts, base_failed, kept, and the rules hit.
 
@@ -129,18 +144,23 @@ def judge_quality(
     verdict but match no label.  Repeated rows are judged separately.  No labels
     or an empty table are fine.
     """
-    stratum = F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
-    counted = text_metrics(docs.withColumn("stratum", stratum), id_col, text_col, ("stratum",))
-    metrics = durable(counted.withColumns({name: F.expr(sql) for name, sql in RATIOS.items()}))
-    good = labels.groupBy(F.col("doc_id").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    cutoffs = risk_controlled_cutoffs(metrics.join(good, "doc_id", "left_semi"), risk, confidence_error)
-    wide = cutoffs.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RATIOS])
-    wide = durable(wide)
-    hits = F.concat_ws(",", *[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RATIOS])
-    judged = metrics.join(wide, "stratum", "left").withColumns(
-        {"base_failed": F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"), "rules_hit": hits}
-    )
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("rules_hit") == "")).alias("kept"), "rules_hit",
-    )
+    metrics = durable(_with_ratios(text_metrics(_stratified(docs, stratum_col), id_col, text_col, ("stratum",))))
+    judged = _judged(metrics, _wide_cutoffs(metrics, labels, risk, confidence_error))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rules_hit")
+
+
+def keep_quality(
+    docs: DataFrame, labels: DataFrame, risk: float = 0.02, confidence_error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang"
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge_quality` keeps, columns unchanged.
+
+    Texts are counted twice, for the cutoffs and for the verdict, so that they
+    are never shuffled.
+    """
+    counted = text_metrics(_stratified(docs.select(id_col, text_col, *([stratum_col] if stratum_col in docs.columns else [])), stratum_col), id_col, text_col, ("stratum",))
+    wide = _wide_cutoffs(durable(_with_ratios(counted)), labels, risk, confidence_error)
+    rows = docs.select(id_col, text_col, F.struct("*").alias("row"), *([stratum_col] if stratum_col in docs.columns else []))
+    metrics = _with_ratios(text_metrics(_stratified(rows, stratum_col), id_col, text_col, ("stratum", "row")))
+    # A column that no filter may be pushed below, else the counts are made anew inside it.
+    fenced = metrics.withColumn("fence", F.monotonically_increasing_id())
+    return _judged(fenced, wide).where("kept and fence >= 0").select("row.*")

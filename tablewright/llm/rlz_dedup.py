@@ -98,8 +98,8 @@ def factors(block: X.Block, seeds: _Seeds, old: np.ndarray, size: int) -> np.nda
     return np.stack([doc[first], at[first], at[last] - at[first] + size], axis=1)
 
 
-def _exchanges(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    found = X.blocks(docs, id_col, text_col)
+def _exchanges(docs: DataFrame, size: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    found = X.blocks(docs, id_col, text_col, carry=carry)
     n = X.buckets(docs)
 
     def ask_anchors(block: X.Block, _: dict, n: int) -> Iterator[tuple[int, X.Question]]:
@@ -145,14 +145,36 @@ def duplicate_factors(docs: DataFrame, size: int = 20, id_col: str = "doc_id", t
     return found.mapInArrow(run, "doc_id long, first_word long, n_words long")
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 [, text].
+def _cleaned(block: X.Block, seeds: _Seeds, old: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+    """Words and removed words of each document; its kept words joined; its text."""
+    change = np.zeros(len(seeds.begin) + 1, np.int64)
+    for _, first, length in factors(block, seeds, old, size):
+        change[first] += 1
+        change[first + length] -= 1
+    gone = np.cumsum(change[:-1]) > 0
+    bounds = np.searchsorted(seeds.doc, np.arange(len(block) + 1))
+    total = np.concatenate(([0], np.cumsum(gone)))
+    n_removed = total[bounds[1:]] - total[bounds[:-1]]
+    data, joined, texts = block.buf.tobytes(), [], []
+    for j in range(len(block)):
+        whole = data[block.starts[j] : block.starts[j + 1]]
+        if n_removed[j]:
+            some = np.flatnonzero(~gone[bounds[j] : bounds[j + 1]]) + bounds[j]
+            joined.append(b" ".join([data[b:e] for b, e in zip(seeds.begin[some].tolist(), seeds.end[some].tolist(), strict=True)]))
+            texts.append(joined[-1])
+        else:
+            joined.append(b" ".join(whole.split()))
+            texts.append(whole)
+    return np.diff(bounds), n_removed, joined, texts
+
+
+def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256.
 
     Each text is parsed greedily against the seeds of all blocks; the factors
     found (see :func:`factors`) are removed: every word of a window of ``size``
     words that also starts in a document of smaller id, or earlier in the same
-    row.  ``kept_sha256`` digests the words left, joined by a space; ``text``,
-    where asked for, is that string (the given text where nothing is removed).
+    row.  ``kept_sha256`` digests the words left, joined by a space.
 
     Blocks first exchange the smallest ten-word hash of each window; only
     windows whose anchor is met again send their own fingerprint, with the least
@@ -166,29 +188,32 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, row in X.unpack(batch):
-                seeds, old = _old_seeds(block, X.answers_of(batch, row), size, n)
-                change = np.zeros(len(seeds.begin) + 1, np.int64)
-                for _, first, length in factors(block, seeds, old, size):
-                    change[first] += 1
-                    change[first + length] -= 1
-                gone = np.cumsum(change[:-1]) > 0
-                bounds = np.searchsorted(seeds.doc, np.arange(len(block) + 1))
-                data = block.buf.tobytes()
-                removed = np.concatenate(([0], np.cumsum(gone)))
-                out = {"doc_id": block.out_ids(), "n_words": np.diff(bounds), "n_removed": removed[bounds[1:]] - removed[bounds[:-1]], "kept_sha256": []}
-                texts = []
-                for j in range(len(block)):
-                    whole = data[block.starts[j] : block.starts[j + 1]]
-                    if out["n_removed"][j]:
-                        some = np.flatnonzero(~gone[bounds[j] : bounds[j + 1]]) + bounds[j]
-                        kept = b" ".join([data[b:e] for b, e in zip(seeds.begin[some].tolist(), seeds.end[some].tolist(), strict=True)])
-                        whole = kept
-                    else:
-                        kept = b" ".join(whole.split())
-                    out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    texts.append(whole)
-                if with_text:
-                    out["text"] = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_pydict(out)
-
-    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+                n_words, n_removed, joined, _ = _cleaned(block, *_old_seeds(block, X.answers_of(batch, row), size, n), size)
+                digests = [hashlib.sha256(k).hexdigest() for k in joined]
+                yield pa.RecordBatch.from_pydict({"doc_id": block.out_ids(), "n_words": n_words, "n_removed": n_removed, "kept_sha256": digests})
+
+    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeats removed from the texts, all columns kept.
+
+    The same removal as :func:`remove_repeats`; a text from which words go
+    becomes the words left, joined by a space, other texts stay as they are.  A
+    document of which no word is left goes.  A null text stays null.
+    """
+    others = tuple(c for c in docs.columns if c != text_col)
+    found, n = _exchanges(docs.withColumn("__null", docs[text_col].isNull()), size, id_col, text_col, (*others, "__null"))
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, row in X.unpack(batch):
+                n_words, n_removed, _, texts = _cleaned(block, *_old_seeds(block, X.answers_of(batch, row), size, n), size)
+                rest = block.rest()
+                texts = pa.array(texts, pa.binary(), mask=rest.column("__null").to_numpy(zero_copy_only=False).astype(bool)).cast(pa.string())
+                table = pa.table({f: texts if f == text_col else rest.column(f) for f in schema.names})
+                stays = (n_words == 0) | (n_removed < n_words)
+                yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
+
+    return found.mapInArrow(run, schema)
