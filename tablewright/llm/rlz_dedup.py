@@ -30,10 +30,14 @@ class _Seeds:
         self.at = np.flatnonzero(whole)
         anchor = min(ANCHOR, size)
         grams = T.window_hashes(hashes, anchor)
-        least = T.sliding(np.minimum, grams, size - anchor + 1) if len(grams) >= size - anchor + 1 else np.zeros(0, np.uint64)
-        self.anchor = T.mix(least[self.at] + np.uint64(1))
+        # The place of the least hash, the leftmost of equals, in its lower bits.
+        bits = np.uint64(max(1, len(grams).bit_length()))
+        placed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+        spot = (T.sliding(np.minimum, placed, size - anchor + 1)[self.at] & np.uint64((1 << int(bits)) - 1)).astype(np.int64) if len(self.at) else self.at
+        self.anchor = T.mix(grams[spot] + np.uint64(1))
         self.print = T.window_hashes(hashes, size)[self.at]
-        self.keys, counts = np.unique(self.anchor, return_counts=True)
+        once = np.flatnonzero(np.diff(spot, prepend=-1))
+        self.keys, counts = np.unique(self.anchor[once], return_counts=True)
         self.again = counts > 1
 
     def candidates(self, replies: dict[int, bytes], n: int) -> np.ndarray:
