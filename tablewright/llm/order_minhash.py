@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm import _exchange as X
@@ -20,8 +20,6 @@ SHINGLE = 5
 #: Sketches of a document, and labelled shingles sampled for each.  A pair of
 #: Jaccard similarity 0.8 shares no sketch with probability (1 - 0.8**5)**40 < 2e-7.
 SKETCHES, SAMPLED = 40, 5
-#: Up to so many documents with one sketch, all promising pairs are candidates.
-SMALL = 40
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, SKETCHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = np.random.default_rng(8).integers(1, 1 << 63, SAMPLED, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -31,7 +29,7 @@ def labelled_shingles(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(0, np.uint64)
     grams = T.window_hashes(hashes, min(SHINGLE, len(hashes)))
-    order, begin = T.group_sorted(grams)
+    order, begin = T.group_sorted(grams, stable=True)
     occurrence = np.empty(len(grams), np.uint64)
     occurrence[order] = np.arange(len(grams)) - np.repeat(begin, np.diff(np.append(begin, len(grams))))
     return T.mix(grams + occurrence * np.uint64(0xD6E8FEB86659FD93))
@@ -150,57 +148,108 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(out)
 
 
-def _promising(least: float, large_only: bool):
-    """Pairs of one sketch whose least shingles agree often enough.
+def _promising(least: float, most: int):
+    """For every document of a sketch group, its ``most`` best partners, twice.
 
-    Small groups give all such pairs.  In a large group every document gives
-    three: to its best match before it, after it, and to its first match; the
-    second round (``large_only``) gives all pairs between different components.
+    Partners are members of the same group, in another component so far, whose
+    least shingles agree often enough.  Best are those that agree most with the
+    document, and those that agree most with the whole group: the common origin
+    of many copies is found by the second, a twin by the first.
     """
-    needed = SKETCHES * (least - 0.3)
+    needed = int(np.ceil(SKETCHES * (least - 0.2)))
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column("sketch").to_numpy()
         node = table.column("node").to_numpy()
-        group = table.column("component").to_numpy() if large_only else node
+        group = table.column("component").to_numpy()
         bits = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, SKETCHES)
         order = np.lexsort((node, key))
         key, node, group, bits = key[order], node[order], group[order], bits[order]
         begin = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        a, b = [], []
+        a, b, agree, central = [], [], [], []
         for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            if e - s < 2 or large_only and (e - s <= SMALL or (group[s:e] == group[s]).all()):
+            if (group[s:e] == group[s]).all():
                 continue
+            across = np.ascontiguousarray(bits[s:e].T)
+            # How often each member's bytes are the group's: its mean agreement.
+            own = np.zeros(e - s)
+            for f in range(SKETCHES):
+                own += np.bincount(across[f], minlength=256)[across[f]]
+            own = (own * (1000 / (e - s))).astype(np.int64)
             for low in range(s, e, 256):
                 high = min(e, low + 256)
                 alike = np.zeros((high - low, e - s), np.uint8)
                 for f in range(SKETCHES):
-                    alike += bits[low:high, f, None] == bits[None, s:e, f]
-                alike[np.arange(low, high) - s - (low - s), np.arange(low, high) - s] = 0
-                ok = alike >= needed
-                if large_only:
-                    ok &= group[low:high, None] != group[None, s:e]
-                if large_only or e - s <= SMALL:
-                    i, j = np.nonzero(ok & (np.arange(e - s)[None, :] > np.arange(low - s, high - s)[:, None]))
-                    a.append(node[low + i])
-                    b.append(node[s + j])
+                    alike += bits[low:high, f, None] == across[f]
+                alike[(group[low:high, None] == group[None, s:e]) | (alike < needed)] = 0
+                some = np.flatnonzero(alike.any(axis=1))
+                if not len(some):
                     continue
-                scored = np.where(ok, alike, 0)
-                at = np.arange(low - s, high - s)
-                before = np.arange(e - s)[None, :] < at[:, None]
-                for choice in (np.where(before, scored, 0), np.where(before, 0, scored), ok.astype(np.uint8)):
-                    best = choice.argmax(axis=1)
-                    some = choice[np.arange(len(best)), best] > 0
-                    a.append(node[low:high][some])
-                    b.append(node[s + best[some]])
-        x = np.concatenate(a) if a else np.zeros(0, np.int64)
-        y = np.concatenate(b) if b else np.zeros(0, np.int64)
+                alike = alike[some].astype(np.int64)
+                for value in (alike * 100_000 + own, alike + own * 100):
+                    value = np.where(alike > 0, value, -1)
+                    take = min(most, e - s)
+                    best = np.argpartition(value, e - s - take, axis=1)[:, e - s - take :] if take < e - s else np.tile(np.arange(e - s), (len(some), 1))
+                    i, j = np.nonzero(np.take_along_axis(value, best, axis=1) >= 0)
+                    j = best[i, j]
+                    a.append(node[low + some[i]])
+                    b.append(node[s + j])
+                    agree.append(alike[i, j])
+                    central.append(own[j])
+        x, y, z, c = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, agree, central))
+        found = np.unique(np.stack([x, y, z, c]), axis=1)
+        return pa.table({n: found[j].astype(np.int64) for j, n in enumerate(("node", "partner", "agree", "central"))})
+
+    return run
+
+
+def _crossing(least: float):
+    """Pairs of one sketch group that lie in different components and whose
+    labelled shingles reach the similarity, counted exactly.
+
+    The group's shingles are indexed once; each member outside the largest
+    component looks its own up and counts what it shares with every other.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        key, node, group = (table.column(c).to_numpy() for c in ("sketch", "node", "component"))
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
+        order = np.lexsort((node, key))
+        begin = np.concatenate(([0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(key)]))
+        a, b = [], []
+        for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            members = order[s:e]
+            names, place, counts = np.unique(group[members], return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                continue
+            sizes = np.array([len(sets[m]) for m in members])
+            flat, owner = np.concatenate([sets[m] for m in members]), np.repeat(np.arange(len(members)), sizes)
+            by = np.argsort(flat)
+            flat, owner = flat[by], owner[by]
+            first = np.concatenate(([0], np.flatnonzero(flat[1:] != flat[:-1]) + 1))
+            distinct, ends = flat[first], np.append(first[1:], len(flat))
+            for i in np.flatnonzero(place != counts.argmax()).tolist():
+                at = np.searchsorted(distinct, sets[members[i]])
+                length = ends[at] - first[at]
+                upto = np.cumsum(length)
+                shared = np.bincount(owner[np.repeat(first[at] - (upto - length), length) + np.arange(upto[-1])], minlength=len(members))
+                ok = (shared >= least * (sizes + sizes[i] - shared) - 1e-9) & (place != place[i])
+                j = np.flatnonzero(ok)
+                a.append(np.full(len(j), node[members[i]]))
+                b.append(node[members[j]])
+        x, y = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
+        return pa.table({"a": pairs[0], "b": pairs[1]})
 
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [labelled_shingles(_hashes(t.as_py())).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,9 +272,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     agree often enough are candidates; a candidate pair is linked when
     :func:`similar` holds on the whole texts.  ``n_links`` counts a
     representative's verified links, ``class_id`` is the least id reachable, and
-    ``kept`` marks the row with that id.  Large groups of one sketch are joined
-    in two rounds (see :func:`_promising`): pairs left out of the first lie in
-    one component already or are verified in the second.
+    ``kept`` marks the row with that id.  Two rounds spare pairs that cannot
+    change a class: the first verifies each document's best partners (see
+    :func:`_promising`); the second counts the shingles of all other pairs that
+    share a sketch but no component and verifies those that are similar, so a
+    pair that was never verified lies inside one class.
 
     Null and wordless texts never link.  A text of fewer than five words links
     to equal ones only.  A null id cannot represent a class; where all are null
@@ -246,29 +297,40 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     met = durable(each.join(shared, "sketch").join(classes.select("node", "bytes"), "node"))
     n = 4 * partitions(spark)
 
-    def links_of(members: DataFrame, large_only: bool) -> DataFrame:
-        dealt = members.withColumn("part", F.pmod(F.xxhash64("sketch"), F.lit(n)))
-        return dealt.groupBy("part").applyInArrow(_promising(least, large_only), "a long, b long").distinct()
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """Words of the documents in ``pairs``, found by their representative's id."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "first", "print"), "node")
+    def placed(parts: DataFrame | None) -> DataFrame:
+        """Sketch groups that hold more than one component, with every member's."""
+        named = met.withColumn("component", F.col("node")) if parts is None else met.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("sketch").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+        return named.join(mixed.select("sketch", "size"), "sketch").withColumn("part", F.pmod(F.xxhash64("sketch"), F.lit(n)))
+
+    def best_pairs(parts: DataFrame | None, most: int) -> DataFrame:
+        told = placed(parts).groupBy("part").applyInArrow(_promising(least, most), "node long, partner long, agree long, central long")
+        each_pair = told.groupBy("node", "partner").agg(F.max("agree").alias("agree"), F.max("central").alias("central"))
+        nearest = Window.partitionBy("node").orderBy(F.desc("agree"), F.desc("central"), "partner")
+        middle = Window.partitionBy("node").orderBy(F.desc("central"), F.desc("agree"), "partner")
+        ranked = each_pair.select("node", "partner", F.least(F.row_number().over(nearest), F.row_number().over(middle)).alias("rank"))
+        return ranked.where(F.col("rank") <= most).select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """Texts of representatives, found by their id."""
+        wanted = nodes.distinct().join(classes.select("node", "first", "print"), "node")
         found = slim.join(wanted.select(F.col("first").alias("doc_id"), "node", "print"), "doc_id").select("node", "print", "text")
         # Rows may repeat an id with another text: only the class's own counts.
         return durable(found.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs)
-        texts = texts_of(pairs)
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         full = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         with X.small_batches(spark):
             return durable(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
 
-    links = verified(links_of(met, False))
+    links = verified(durable(best_pairs(None, 1)))
     parts = connected_components(links)
-    large = met.join(met.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL).select("sketch"), "sketch")
-    placed = large.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = durable(links_of(placed, True))
+    # What the first round left out: pairs of one sketch between components.
+    rest = durable(placed(parts))
+    sets = texts_of(rest.select("node")).mapInArrow(_shingle_rows, "node long, shingles binary")
+    crossing = rest.select("part", "sketch", "node", "component").join(sets, "node").groupBy("part").applyInArrow(_crossing(least), "a long, b long")
+    more = durable(crossing.distinct())
     if not more.isEmpty():
         links = durable(links.union(verified(more)).distinct())
         parts = connected_components(links)
