@@ -12,14 +12,17 @@ def char_ngrams(text: Column, low: int, high: int) -> Column:
     return _grams(clean, low, high)
 
 
+def _slide(text: Column, n: int) -> Column:
+    """All substrings of ``n`` characters of a text that has as many."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _grams(text: Column, low: int, high: int) -> Column:
-    each = [
-        F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(
-            F.array().cast("array<string>")
-        )
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*each)
+    return F.concat(*[F.when(F.length(text) >= n, _slide(text, n)).otherwise(_none()) for n in range(low, high + 1)])
 
 
 def char_wb_ngrams(text: Column, low: int, high: int) -> Column:
@@ -28,13 +31,9 @@ def char_wb_ngrams(text: Column, low: int, high: int) -> Column:
 
     def of_word(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = []
-        for n in range(low, high + 1):
-            whole = F.array(padded) if n == low else F.array().cast("array<string>")
-            slide = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))
-            shorter = F.length(padded) < n
-            # A word of at most n characters gives itself once and no longer grams.
-            parts.append(F.when(shorter & (F.length(padded) >= n - 1) & F.lit(n > low), F.array().cast("array<string>")).when(shorter, whole).otherwise(slide))
+        # A word shorter than n gives itself once, at the least n, and no longer grams.
+        parts = [F.when(F.length(padded) >= low, _slide(padded, low)).otherwise(F.array(padded))]
+        parts += [F.when(F.length(padded) >= n, _slide(padded, n)).otherwise(_none()) for n in range(low + 1, high + 1)]
         return F.concat(*parts)
 
     return F.flatten(F.transform(words, of_word))

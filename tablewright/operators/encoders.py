@@ -39,7 +39,7 @@ class MinHashEncoder(ColumnTransformer):
         names = padded(self.n)
         out = []
         for j in range(self.n // 2 if self.minmax else self.n):
-            hashes = F.transform(grams, lambda g, j=j: F.xxhash64(F.lit(j), g))
+            hashes = F.transform(grams, _seeded(j))
             kinds = (F.array_min, F.array_max) if self.minmax else (F.array_min,)
             for k, kind in enumerate(kinds):
                 value = F.when(empty, 0.0).otherwise(kind(hashes).cast("double") / 2.0**64 + 0.5)
@@ -47,6 +47,10 @@ class MinHashEncoder(ColumnTransformer):
         return out
 
 
+def _seeded(j: int) -> Callable:
+    return lambda gram: F.xxhash64(F.lit(j), gram)
+
+
 def hashed_grams(texts, low: int, high: int, n_features: int, boundaries: bool) -> np.ndarray:
     """Counts of hashed character n-grams, one row for each text."""
     out = np.zeros((len(texts), n_features), np.float32)

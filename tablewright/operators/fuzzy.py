@@ -78,7 +78,7 @@ class Joiner:
         grams, parts = [], []
         for j, (c, aux, kind) in enumerate(zip(keys, self.aux_keys_, self.kinds_, strict=True)):
             if kind == "string":
-                grams.append(F.transform(char_wb_ngrams(quoted(c).cast("string"), 2, 4), lambda g, j=j: F.concat(F.lit(f"{j}:"), g)))
+                grams.append(F.transform(char_wb_ngrams(quoted(c).cast("string"), 2, 4), _tagged(j)))
             else:
                 mean, scale = self.scales_[aux]
                 parts.append(F.coalesce((self._number(df, c, kind) - mean) / scale, F.lit(0.0)).alias(f"p{len(parts)}"))
@@ -224,6 +224,10 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_on=None, right_on=None, o
     return out if add_match_info else out.drop("match_distance", "match_rescaled_distance", "match_accepted")
 
 
+def _tagged(j: int):
+    return lambda gram: F.concat(F.lit(f"{j}:"), gram)
+
+
 #: Distinct spellings that are clustered on the driver.
 MOST_SPELLINGS = 5000
 

@@ -1,8 +1,5 @@
-"""Registered queries over the driver's tables."""
+"""Lazy plans over frames, and the queries registered with the driver."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").count()
+from tablewright.plans.choices import choose_bool, choose_float, choose_from, choose_int, optional  # noqa: F401
+from tablewright.plans.graph import Node, X, as_node, deferred, eval_mode, evaluate, var, y  # noqa: F401
+from tablewright.plans.queries import FLAGSHIP, ORACLES, QUERIES  # noqa: F401
