@@ -34,9 +34,9 @@ def _levels(df: DataFrame) -> DataFrame:
     texts = [f for f in fields if f.name not in binned]
     top: dict[str, list] = {}
     if texts:
-        pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _as_text(f).alias("value")) for j, f in enumerate(texts)]))
-        counts = df.select(pairs.alias("p")).select("p.j", "p.value").groupBy("j", "value").agg(F.count(F.lit(1)).alias("n"))
-        by = Window.partitionBy("j").orderBy(F.desc("n"), F.asc_nulls_last("value"))
+        pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _as_text(f).alias("value"), numbers.get(f.name, F.lit(None)).cast("double").alias("number")) for j, f in enumerate(texts)]))
+        counts = df.select(pairs.alias("p")).select("p.*").groupBy("j", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+        by = Window.partitionBy("j").orderBy(F.desc("n"), F.desc("number"), F.desc("value"))  # of equals, the larger
         for r in counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= N_BINS + 1).collect():
             top.setdefault(texts[r["j"]].name, []).append((r["rank"], r["value"]))
     out = []
