@@ -112,8 +112,11 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     if both < least * (len(x) + len(y) - both) - 1e-9:
         return False
-    longer = max(len(a), len(b))
-    return edit_distance_within(a, b, int((1 - least) * longer + 1e-9)) is not None
+    return _aligned(a, b, least)
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    return edit_distance_within(a, b, int((1 - least) * max(len(a), len(b)) + 1e-9)) is not None
 
 
 def _print(text: str) -> bytes:
@@ -204,52 +207,61 @@ def _promising(least: float, most: int):
 
 
 def _crossing(least: float):
-    """Pairs of one sketch group that lie in different components and whose
-    labelled shingles reach the similarity, counted exactly.
+    """Links of one sketch group between components, found and verified here.
 
-    The group's shingles are indexed once; each member outside the largest
-    component looks its own up and counts what it shares with every other.
+    The group's labelled shingles are indexed once; each member outside the
+    largest component looks its own up and counts what it shares with every
+    other.  Pairs that reach the similarity are aligned as long as their
+    components are apart, so a task gives fewer links than it has members.
     """
 
     def run(table: pa.Table) -> pa.Table:
         key, node, group = (table.column(c).to_numpy() for c in ("sketch", "node", "component"))
-        sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
+        texts = table.column("text")
+        words: dict[int, np.ndarray] = {}
+        for j, v in enumerate(node.tolist()):
+            if v not in words:
+                words[v] = _hashes(texts[j].as_py())
+        shingles = {v: labelled_shingles(h) for v, h in words.items()}
+        parent = {int(g): int(g) for g in group}
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = g = parent[parent[g]]
+            return g
+
         order = np.lexsort((node, key))
         begin = np.concatenate(([0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(key)]))
-        a, b = [], []
+        found = []
         for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             members = order[s:e]
-            names, place, counts = np.unique(group[members], return_inverse=True, return_counts=True)
+            names, place, counts = np.unique([root(g) for g in group[members].tolist()], return_inverse=True, return_counts=True)
             if len(names) < 2:
                 continue
-            sizes = np.array([len(sets[m]) for m in members])
-            flat, owner = np.concatenate([sets[m] for m in members]), np.repeat(np.arange(len(members)), sizes)
+            sets = [shingles[v] for v in node[members].tolist()]
+            sizes = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(members)), sizes)
             by = np.argsort(flat)
             flat, owner = flat[by], owner[by]
             first = np.concatenate(([0], np.flatnonzero(flat[1:] != flat[:-1]) + 1))
             distinct, ends = flat[first], np.append(first[1:], len(flat))
             for i in np.flatnonzero(place != counts.argmax()).tolist():
-                at = np.searchsorted(distinct, sets[members[i]])
+                at = np.searchsorted(distinct, sets[i])
                 length = ends[at] - first[at]
                 upto = np.cumsum(length)
                 shared = np.bincount(owner[np.repeat(first[at] - (upto - length), length) + np.arange(upto[-1])], minlength=len(members))
                 ok = (shared >= least * (sizes + sizes[i] - shared) - 1e-9) & (place != place[i])
-                j = np.flatnonzero(ok)
-                a.append(np.full(len(j), node[members[i]]))
-                b.append(node[members[j]])
-        x, y = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+                x, g = int(node[members[i]]), int(group[members[i]])
+                for j in np.flatnonzero(ok)[np.argsort(-shared[ok])].tolist():
+                    y, h = int(node[members[j]]), int(group[members[j]])
+                    if root(g) != root(h) and _aligned(words[x], words[y], least):
+                        parent[max(root(g), root(h))] = min(root(g), root(h))
+                        found.append((min(x, y), max(x, y)))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return run
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [labelled_shingles(_hashes(t.as_py())).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,8 +287,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     ``kept`` marks the row with that id.  Two rounds spare pairs that cannot
     change a class: the first verifies each document's best partners (see
     :func:`_promising`); the second counts the shingles of all other pairs that
-    share a sketch but no component and verifies those that are similar, so a
-    pair that was never verified lies inside one class.
+    share a sketch but no component and aligns the similar ones (see
+    :func:`_crossing`), so a pair that was never verified lies inside one class.
 
     Null and wordless texts never link.  A text of fewer than five words links
     to equal ones only.  A null id cannot represent a class; where all are null
@@ -327,12 +339,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     links = verified(durable(best_pairs(None, 1)))
     parts = connected_components(links)
     # What the first round left out: pairs of one sketch between components.
-    rest = durable(placed(parts))
-    sets = texts_of(rest.select("node")).mapInArrow(_shingle_rows, "node long, shingles binary")
-    crossing = rest.select("part", "sketch", "node", "component").join(sets, "node").groupBy("part").applyInArrow(_crossing(least), "a long, b long")
+    rest = durable(placed(parts).select("part", "sketch", "node", "component"))
+    crossing = rest.join(texts_of(rest.select("node")), "node").groupBy("part").applyInArrow(_crossing(least), "a long, b long")
     more = durable(crossing.distinct())
     if not more.isEmpty():
-        links = durable(links.union(verified(more)).distinct())
+        links = durable(links.union(more).distinct())
         parts = connected_components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     owned = classes.select("node", "print", "first", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
