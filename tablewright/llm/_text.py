@@ -113,9 +113,9 @@ def covered(hit: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def group_sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def group_sorted(keys: np.ndarray, stable: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Sorting order of ``keys`` and the begin of each run of equal keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable" if stable else None)
     k = keys[order]
     if not len(k):
         return order, np.zeros(0, np.int64)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from tablewright.llm import _exchange as X
 from tablewright.llm import _text as T
 
-ANCHOR = 16
+ANCHOR = 24
 
 
 # --- enhanced suffix arrays -------------------------------------------------
@@ -46,14 +46,14 @@ class SuffixArray:
             rank = self._dense(at, key, len(buf))
             self.levels.append((width, rank))
         self.rank = rank
-        order = np.argsort(rank[at], kind="stable")
+        order = np.argsort(rank[at])
         self.at = at[order]
 
     @staticmethod
     def _dense(at: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
         rank = np.full(n, -1, np.int64)
         if len(at):
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             k = key[order]
             up = np.empty(len(k), np.int64)
             up[0] = 0
@@ -126,7 +126,7 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tu
 class _Runs:
     """A block's windows of ``size`` bytes, and the runs that share an anchor.
 
-    The anchor of a window is the smallest hash of its 16-byte windows.  A run
+    The anchor of a window is the smallest hash of its 24-byte windows.  A run
     is a stretch of consecutive windows of one text with one anchor; its text is
     the bytes they cover.  Equal windows have equal anchors, so all occurrences
     of a window meet in one bucket of runs.
