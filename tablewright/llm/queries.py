@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import ctw_scoring, license_scan, mixing, order_minhash, quality_rules, rlz_dedup, rp_forest, sharding, suffix_dedup, wfst_tokenizer
+from tablewright.llm.oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +65,3 @@ QUERIES = {
     "op10_byte_shards": op10_byte_shards,
 }
 
-ORACLES: dict[str, str] = {}
