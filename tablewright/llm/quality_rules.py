@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm._spark import WORD, durable
@@ -101,8 +101,10 @@ def risk_controlled_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence_
         F.count(F.lit(1)).alias("n"), *[F.sum((F.col("ratio") > c).cast("long")).alias(f"k{j}") for j, c in enumerate(CUTOFFS)]
     )
     tests = counts.selectExpr("stratum", "rule", "n", f"stack({len(CUTOFFS)}, " + ", ".join(f"{c}D, k{j}" for j, c in enumerate(CUTOFFS)) + ") as (cutoff, k)")
-    strata = counts.select(F.count_distinct("stratum").alias("strata"))
-    judged = tests.join(F.broadcast(strata)).withColumn("tail", binomial_tail("k", "n", per_rule))  # one row
+    # A row per stratum, rule and cutoff: few enough for a window over all.
+    place = F.dense_rank().over(Window.orderBy("stratum"))
+    counted = tests.withColumn("place", place).withColumn("strata", F.max("place").over(Window.partitionBy()))
+    judged = counted.withColumn("tail", binomial_tail("k", "n", per_rule))
     passed = judged.where(F.col("tail") <= F.lit(confidence_error) / (F.col("strata") * len(RATIOS) * len(CUTOFFS)))
     return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
