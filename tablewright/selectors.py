@@ -7,6 +7,7 @@ one aggregate job per expansion.
 
 from __future__ import annotations
 
+import builtins
 import re
 from collections.abc import Callable
 from fnmatch import fnmatchcase
@@ -123,7 +124,7 @@ def make_selector(obj) -> Selector:
         return obj
     if isinstance(obj, str):
         return Cols((obj,))
-    if isinstance(obj, (list, tuple)) and all(isinstance(c, str) for c in obj):
+    if isinstance(obj, (list, tuple)) and builtins.all(isinstance(c, str) for c in obj):
         return Cols(tuple(obj))
     raise ValueError(f"cannot select columns by {obj!r}")
 

@@ -1,6 +1,7 @@
 """Graphs, choices, learners, queries against DuckDB, streaming."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == columns
 
     def lines(frame):
-        return sorted(str([None if v != v or v is None else float(v) if isinstance(v, (int, float)) else v for v in r]) for r in frame[columns].astype(object).values.tolist())
+        return sorted(str([None if pd.isna(v) else float(v) if isinstance(v, (int, float)) else v for v in r]) for r in frame[columns].astype(object).values.tolist())
 
     assert lines(got) == lines(want)
 
