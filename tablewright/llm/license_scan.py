@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm._spark import durable
@@ -42,11 +42,13 @@ def scan_licenses(
     One pass turns each text into its words, counts the base phrases and keeps,
     for texts with a hint of a notice, the positions of template words and for
     every text a bit per template word it holds.  The bits give every word's
-    document frequency over all texts.  A document's ``rarest`` template words
-    of highest IDF are looked up in the templates' positional postings; hits
-    that agree on where a template would begin make a candidate, which stands
-    when every word of the template's mandatory phrase is at its place.  Score
-    is the best candidate's share of template words found in place.
+    document frequency over all texts.  Each template is indexed under the
+    ``rarest`` words of highest IDF of its own mandatory phrase; hits that agree
+    on where a template would begin and hold one of these make a candidate,
+    which stands when every word of the mandatory phrase is at its place.  A
+    notice that stands holds all its index words, so none is passed over,
+    whatever other notices or template words its document holds.  Score is the
+    best candidate's share of template words found in place.
 
     Null text has no words.  A document without a label has score 0 and empty
     label strings.  Repeated rows are scanned separately; ids may be null.
@@ -87,23 +89,24 @@ def scan_licenses(
     )
     spark = docs.sparkSession
     counts = looked.agg(*[F.count(F.when(F.col("bits").bitwiseAND(1 << j) != 0, 1)).alias(str(j)) for j in range(len(vocabulary))], F.count(F.lit(1)).alias("n")).first()
-    # IDF ranks: rarest first, ties by word; a row for each template word.
+    # IDF ranks: rarest first, ties by word; a posting for each template word.
     order = sorted(range(len(vocabulary)), key=lambda j: (counts[str(j)], vocabulary[j]))
     rank_of = {vocabulary[j]: r for r, j in enumerate(order)}
-    postings = spark.createDataFrame(
-        [(w, rank_of[w], label, at, len(notice.split())) for label, (notice, _) in templates.items() for at, w in enumerate(notice.split())],
-        "word string, rarity int, label string, at int, length int",
-    )
     mandatory = {label: f" {notice} ".index(f" {phrase} ") for label, (notice, phrase) in templates.items()}
     spans = {label: (notice[: mandatory[label]].count(" "), len(phrase.split())) for label, (notice, phrase) in templates.items()}
+    entries = []
+    for label, (notice, _) in templates.items():
+        words, (b, n) = notice.split(), spans[label]
+        index = sorted(range(b, b + n), key=lambda at: rank_of[words[at]])[: max(1, rarest)]
+        entries += [(w, at in index, label, at, len(words)) for at, w in enumerate(words)]
+    postings = spark.createDataFrame(entries, "word string, rare boolean, label string, at int, length int")
     key = spark.createDataFrame([(label, b, b + n, n) for label, (b, n) in spans.items()], "label string, key_from int, key_to int, key_words int")
     hits = looked.where("hits is not null").select("row", F.explode("hits").alias("hit")).select("row", "hit.position", "hit.word")
     placed = hits.join(F.broadcast(postings), "word").withColumn("begin", F.col("position") - F.col("at"))  # template words only
-    rare = placed.withColumn("order", F.dense_rank().over(Window.partitionBy("row").orderBy("rarity")))
     agreed = (
-        rare.groupBy("row", "label", "begin", "length")
-        .agg(F.collect_set("at").alias("matched"), F.max((F.col("order") <= rarest).cast("int")).alias("rare_hit"))
-        .where("rare_hit = 1")
+        placed.groupBy("row", "label", "begin", "length")
+        .agg(F.collect_set("at").alias("matched"), F.max("rare").alias("rare_hit"))
+        .where("rare_hit")
         .join(F.broadcast(key), "label")
         .where("size(filter(matched, x -> x >= key_from and x < key_to)) = key_words")
         .groupBy("row")

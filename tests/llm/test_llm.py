@@ -309,6 +309,29 @@ def test_licenses(docs):
     assert got[4]["labels"] == "cc-by,cc-by-nc-4.0" and got[4]["n_base"] == 2
 
 
+def test_several_licenses(spark):
+    """Documents with several notices, against a look at every place of every template."""
+    rng = random.Random(6)
+    notices = [notice for notice, _ in license_scan.TEMPLATES.values()]
+    texts = ["Licensed under CC BY-NC 4.0. This work is licensed under the GNU General Public License version 3.", "general gnu public mozilla 4 nc, released under the MIT license"]
+    for _ in range(120):
+        parts = rng.sample(notices, rng.randint(0, 4)) + [" ".join(rng.choice(rng.choice(notices).split()) for _ in range(rng.randint(0, 6))) for _ in range(2)]
+        rng.shuffle(parts)
+        texts.append(" some words ".join(parts))
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for j, t in enumerate(texts):
+        w = re.findall("[a-z0-9]+", t.lower())
+        labels, score = set(filter(None, got[j]["base_labels"].split(","))), 0.0
+        for label, (notice, phrase) in license_scan.TEMPLATES.items():
+            words, key = notice.split(), phrase.split()
+            before = next(b for b in range(len(words)) if words[b : b + len(key)] == key)
+            for i in range(len(w)):
+                if w[i : i + len(key)] == key:
+                    labels.add(label)
+                    score = max(score, sum(0 <= i - before + o < len(w) and w[i - before + o] == x for o, x in enumerate(words)) / len(words))
+        assert got[j]["labels"] == ",".join(sorted(labels)) and got[j]["score"] == pytest.approx(score or (0.5 if labels else 0.0))
+
+
 def test_shards(docs):
     rows = sharding.shard_by_bytes(docs, 5).collect()
     total = collections.Counter()
