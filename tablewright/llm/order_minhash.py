@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,13 @@ from tablewright.llm._spark import durable, partitions
 from tablewright.llm.components import connected_components
 
 SHINGLE = 5
-#: Sketches of a document, and labelled shingles sampled for each.  A pair of
-#: Jaccard similarity 0.8 shares no sketch with probability (1 - 0.8**5)**40 < 2e-7.
+#: Sketches of a document, and labelled shingles sampled for each.  A pair with
+#: 0.8 or more of its shingles in common, in one order, shares no sketch with
+#: probability (1 - 0.8**5)**40 < 2e-7 for long texts, and below 5e-6 (12 of 15
+#: shingles shared) for any pair of which one text has more than ``FEW``.
 SKETCHES, SAMPLED = 40, 5
+#: Texts of at most so many shingles are found by exact keys, see :func:`few_keys`.
+FEW = 10
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, SKETCHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = np.random.default_rng(8).integers(1, 1 << 63, SAMPLED, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -52,6 +57,32 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return T.mix(sums ^ _ODD), (T.mix(top ^ _ODD) & np.uint64(255)).astype(np.uint8)
 
 
+def few_keys(shingles: np.ndarray, least: float) -> np.ndarray:
+    """Keys of a text of at most ``FEW`` shingles that every similar such text shares.
+
+    What a similar pair has in common leaves out at most ``1 - least`` of
+    either's shingles, so each text gives a key for every set that leaves out so
+    many of its own; the common set is among them on both sides.
+    """
+    values = shingles.tolist()
+    gone = [sum(some) for out in range(int((1 - least) * len(values) + 1e-9) + 1) for some in combinations(values, out)]
+    sums = [(sum(values) - g) & 0xFFFFFFFFFFFFFFFF for g in gone]
+    return T.mix(np.array(sums, np.uint64) ^ _ORDER[0])
+
+
+def _keys(shingles: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that bring a text together with its candidates, and its sketches' bytes.
+
+    A text too short to be similar to one of more than ``FEW`` shingles needs
+    no sketch as a key.
+    """
+    values, top = sketch(shingles)
+    if len(shingles) > FEW:
+        return values, top
+    exact = few_keys(shingles, least)
+    return (exact if len(shingles) <= least * FEW + 1e-9 else np.concatenate((values, exact))), top
+
+
 def _hashes(text: str | None) -> np.ndarray:
     data = (text or "").encode()
     buf = np.frombuffer(data, np.uint8)
@@ -129,26 +160,29 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["node", "text"]).filter(pa.array(own, pa.bool_()))
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: dict = {"doc_id": batch.column(0), "n_words": [], "print": [], "sketches": [], "bytes": []}
-        for j in range(batch.num_rows):
-            text = batch.column(1)[j].as_py() or ""
-            hashes = _hashes(text)
-            out["n_words"].append(len(hashes))
-            out["print"].append(_print(text) if len(hashes) else None)
-            if len(hashes):
-                values, least = sketch(labelled_shingles(hashes))
-                out["sketches"].append(values.view(np.int64).tolist())
-                out["bytes"].append(least.tobytes())
-            else:
-                out["sketches"].append(None)
-                out["bytes"].append(None)
-        out["sketches"] = pa.array(out["sketches"], pa.list_(pa.int64()))
-        out["bytes"] = pa.array(out["bytes"], pa.binary())
-        out["print"] = pa.array(out["print"], pa.binary())
-        out["n_words"] = pa.array(out["n_words"], pa.int64())
-        yield pa.RecordBatch.from_pydict(out)
+def _sketch_rows(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict = {"doc_id": batch.column(0), "n_words": [], "print": [], "sketches": [], "bytes": []}
+            for j in range(batch.num_rows):
+                text = batch.column(1)[j].as_py() or ""
+                hashes = _hashes(text)
+                out["n_words"].append(len(hashes))
+                out["print"].append(_print(text) if len(hashes) else None)
+                if len(hashes):
+                    values, top = _keys(labelled_shingles(hashes), least)
+                    out["sketches"].append(values.view(np.int64).tolist())
+                    out["bytes"].append(top.tobytes())
+                else:
+                    out["sketches"].append(None)
+                    out["bytes"].append(None)
+            out["sketches"] = pa.array(out["sketches"], pa.list_(pa.int64()))
+            out["bytes"] = pa.array(out["bytes"], pa.binary())
+            out["print"] = pa.array(out["print"], pa.binary())
+            out["n_words"] = pa.array(out["n_words"], pa.int64())
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
 
 
 def _promising(least: float, most: int):
@@ -280,8 +314,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     """One row per document: doc_id, n_words, copies, n_links, class_id, kept.
 
     Documents with equal word sequences form a class, which its least id
-    represents.  Representatives that share a sketch and whose least shingles
-    agree often enough are candidates; a candidate pair is linked when
+    represents.  Representatives that share a sketch, or an exact key where both
+    have few shingles, are candidates; a candidate pair is linked when
     :func:`similar` holds on the whole texts.  ``n_links`` counts a
     representative's verified links, ``class_id`` is the least id reachable, and
     ``kept`` marks the row with that id.  Two rounds spare pairs that cannot
@@ -297,7 +331,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     with X.small_batches(spark):
-        sketched = durable(slim.mapInArrow(_sketch_rows, "doc_id long, n_words long, print binary, sketches array<long>, bytes binary"))
+        sketched = durable(slim.mapInArrow(_sketch_rows(least), "doc_id long, n_words long, print binary, sketches array<long>, bytes binary"))
     worded = sketched.where("print is not null")
     classes = durable(
         worded.groupBy("print")

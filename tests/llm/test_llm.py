@@ -222,6 +222,31 @@ def test_order_minhash(docs):
     assert order_minhash.one_of_each(docs).count() == sum(r["kept"] for r in got.values())
 
 
+def test_order_minhash_short(spark):
+    """Texts of 5 to 16 words and their edits at the ends and inside, against brute force."""
+    rng = random.Random(8)
+    texts = []
+    for j in range(150):
+        base = [f"w{j}x{i}" if rng.random() < 0.9 else "same" for i in range(8 if j < 30 else rng.randint(5, 14))]
+        edits = [[*base, "new"], ["new", *base], [*base[:-1], "new"], ["new", *base, "end"], [*base[:3], "new", *base[3:]]]
+        texts += [" ".join(base), " ".join(edits[j % 2] if j < 30 else rng.choice(edits))]
+    got = by_id(order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    hashes = [order_minhash._hashes(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if order_minhash.similar(hashes[i], hashes[j], 0.8):
+                a, b = rp_forest._root(parent, i), rp_forest._root(parent, j)
+                parent[max(a, b)] = min(a, b)
+    assert [got[j]["class_id"] for j in range(len(texts))] == [rp_forest._root(parent, j) for j in range(len(texts))]
+    assert sum(not got[j]["kept"] for j in range(60)) == 30
+    # Every similar pair of few shingles shares an exact key.
+    for i in range(0, len(texts), 2):
+        x, y = (order_minhash.labelled_shingles(hashes[k]) for k in (i, i + 1))
+        if max(len(x), len(y)) <= order_minhash.FEW and order_minhash.similar(hashes[i], hashes[i + 1], 0.8):
+            assert set(order_minhash.few_keys(x, 0.8).tolist()) & set(order_minhash.few_keys(y, 0.8).tolist())
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(60):
