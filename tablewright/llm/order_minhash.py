@@ -311,14 +311,16 @@ def _verify(least: float):
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, copies, n_links, class_id, kept.
+    """One row per document: doc_id, n_words, copies, n_spanning_links, class_id, kept.
 
     Documents with equal word sequences form a class, which its least id
     represents.  Representatives that share a sketch, or an exact key where both
     have few shingles, are candidates; a candidate pair is linked when
-    :func:`similar` holds on the whole texts.  ``n_links`` counts a
-    representative's verified links, ``class_id`` is the least id reachable, and
-    ``kept`` marks the row with that id.  Two rounds spare pairs that cannot
+    :func:`similar` holds on the whole texts.  ``n_spanning_links``
+    counts those of a representative's links that were verified to join its
+    class, not all it has; which these are depends on the order of the search.
+    ``class_id`` is the least id reachable, and ``kept`` marks the row with that
+    id.  Two rounds spare pairs that cannot
     change a class: the first verifies each document's best partners (see
     :func:`_promising`); the second counts the shingles of all other pairs that
     share a sketch but no component and aligns the similar ones (see
@@ -379,15 +381,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     if not more.isEmpty():
         links = durable(links.union(more).distinct())
         parts = connected_components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_spanning_links"))
     owned = classes.select("node", "print", "first", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = owned.groupBy("component").agg(F.min("first").alias("class_id"))
-    named = owned.join(least_id, "component").join(degree, "node", "left").select("print", "copies", "n_links", "class_id")
+    named = owned.join(least_id, "component").join(degree, "node", "left").select("print", "copies", "n_spanning_links", "class_id")
     return sketched.select("doc_id", "n_words", "print").join(named, "print", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_spanning_links", F.lit(0)).cast("long").alias("n_spanning_links"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.col("class_id").isNull()).alias("kept"),
     )

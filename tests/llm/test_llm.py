@@ -240,6 +240,8 @@ def test_order_minhash_short(spark):
                 parent[max(a, b)] = min(a, b)
     assert [got[j]["class_id"] for j in range(len(texts))] == [rp_forest._root(parent, j) for j in range(len(texts))]
     assert sum(not got[j]["kept"] for j in range(60)) == 30
+    # Verified links that join a class: one at least for each of its texts.
+    assert all((got[j]["n_spanning_links"] > 0) == (got[j]["class_id"] != j or got[j + 1]["class_id"] == j) for j in range(59))
     # Every similar pair of few shingles shares an exact key.
     for i in range(0, len(texts), 2):
         x, y = (order_minhash.labelled_shingles(hashes[k]) for k in (i, i + 1))
