@@ -1,4 +1,4 @@
-"""Remove repeated word passages by a relative Lempel-Ziv parse."""
+"""Remove repeated word passages by fingerprints of word windows."""
 
 from __future__ import annotations
 
@@ -175,7 +175,7 @@ def _cleaned(block: X.Block, seeds: _Seeds, old: np.ndarray, size: int) -> tuple
 def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256.
 
-    Each text is parsed greedily against the seeds of all blocks; the factors
+    Each text's seeds are looked up among those of all blocks; the factors
     found (see :func:`factors`) are removed: every word of a window of ``size``
     words that also starts in a document of smaller id, or earlier in the same
     row.  ``kept_sha256`` digests the words left, joined by a space.
