@@ -25,7 +25,8 @@ class Joiner:
     population deviation.  For string keys an inverted index of grams finds the
     rows with common grams and their dot products; a row without any common gram
     is as far from all non-empty rows, so the first takes it.  Numeric keys alone
-    are compared through a sort along the first key (see :meth:`_numeric`).
+    are compared with the whole auxiliary table, which may hold at most
+    ``BROADCAST_ROWS`` rows (see :meth:`_numeric`); larger ones are refused.
     A match counts when its distance over a reference distance is at most
     ``max_dist``; else the auxiliary columns are null.  Ties go to the lowest
     auxiliary row in key order.
