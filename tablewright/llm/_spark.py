@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,21 +13,50 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where the session has none, as in tests.
-    """
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cut lineage, read by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row number ``name`` that later reads of it agree on.
+
+    Numbers come from partitions, so the numbered table is written first: a lost
+    executor rereads the numbers, it never deals them anew.
+    """
+    return written(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, set where it is not yet."""
+    """The session's checkpoint folder.
+
+    It is the one that the cluster names in ``spark.checkpoint.dir``.  Where none
+    is named, a local session, whose executors are the driver itself, gets a
+    temporary one; on a cluster that is an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tablewright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="tablewright-")
+        context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
