@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm._spark import durable, word_count
+from tablewright.llm._spark import durable, free_name, numbered, word_count
 
 #: Slots that one task expands or ranks at a time.
 CELL_BITS = 14
@@ -75,73 +75,116 @@ def slot_schedule(targets: DataFrame, block: int) -> DataFrame:
     return slots.withColumn("within", F.row_number().over(here) - 1).join(offsets, ["ordinal", "cell"]).select("slot", "ordinal", (F.col("before") + F.col("within")).alias("rank"))
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[int, ...] = (3, 1, 2),
-    share: float = 1.5,
-    most: float = 2.0,
-    block: int = 1024,
-    seed: str = "mix",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
-
-    Each source's documents are shuffled by a hash of seed and id and laid end
-    to end, ``most`` times over; that stream is cut into blocks of ``block``
-    words.  The schedule's slot of rank r takes block r, the last one only up
-    to the rounded target, and ``taken`` sums what the slots take of a document.
-    So a source's taken words equal its rounded target and no document passes
-    ``most`` times its size.
-
-    Null text has size 0.  A null source is a source, the last.  Repeated rows
-    are separate documents.  An empty table gives an empty result.
-    """
-    size = word_count(F.col(f"`{text_col}`"))
+def _laid(docs: DataFrame, row: str, weights, share, most, seed, id_col, text_col, source_col) -> tuple[DataFrame, DataFrame]:
+    """Every row's place in its source's shuffled stream, and the sources' targets."""
     slim = durable(
-        docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size")).withColumn(
-            "shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
+        docs.select(
+            F.col(f"`{row}`").alias("row"),
+            F.col(f"`{id_col}`").alias("doc_id"),
+            F.col(f"`{source_col}`").cast("string").alias("source"),
+            word_count(F.col(f"`{text_col}`")).alias("size"),
+            # Rows without an id, or that repeat one, are still spread by their text.
+            F.md5(F.concat_ws("|", F.lit(seed), F.col(f"`{id_col}`").cast("string")).cast("binary")).alias("shuffle_key"),
+            F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")).alias("text_key"),
         )
     )
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = durable(source_targets(sizes, weights, share, most).withColumn("taking", F.floor(F.col("target") + 0.5).cast("long")))
-    slots = slot_schedule(targets, block)
     named = slim.join(targets.drop("weight"), slim["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     # Prefix sums in two levels: 4096 hash ranges of a source, then rows of a range.
-    ranged = named.withColumn("range", F.substring("shuffle_key", 1, 3))
+    # Null ids share a shuffle key, so their range comes from the text.
+    ranged = named.withColumn("shuffle_key", F.when(F.col("doc_id").isNull(), F.col("text_key")).otherwise(F.col("shuffle_key"))).withColumn("range", F.substring("shuffle_key", 1, 3))
     earlier = Window.partitionBy("ordinal").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("ordinal", "range").agg(F.sum("size").alias("words"))
     offsets = totals.select("ordinal", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("ordinal", "range").orderBy("shuffle_key", "doc_id", "size")
+    inside = Window.partitionBy("ordinal", "range").orderBy("shuffle_key", "doc_id", "size", "text_key", "row")
     laid = (
         ranged.withColumn("within", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .join(offsets, ["ordinal", "range"])
         .withColumn("start", F.col("before") + F.col("within"))
-        .withColumn("row", F.monotonically_increasing_id())
     )
-    laid = durable(laid.select("row", "doc_id", "size", "source_size", "target", "ordinal", "taking", "start"))
+    return durable(laid.select("row", "doc_id", "size", "source_size", "target", "ordinal", "taking", "start")), targets
+
+
+def _parts(laid: DataFrame, targets: DataFrame, most: float, block: int) -> DataFrame:
+    """``(row, lap, words, rank, slot)``: what each slot takes of each row.
+
+    Slot of rank r takes block r of its source's stream.  Only slots decide:
+    a block whose rank no slot has is not taken.
+    """
     laps = F.sequence(F.lit(0), F.lit(max(0, -int(-most // 1) - 1)))
-    parts = (
+    pieces = (
         laid.where("size > 0")
         .select("row", "ordinal", "size", "source_size", "taking", "start", F.explode(laps).alias("lap"))
         .withColumn("from", F.col("start") + F.col("lap") * F.col("source_size"))
         .withColumn("to", F.least(F.col("from") + F.col("size"), F.col("taking")))
         .where("from < to")
-        .select("row", "ordinal", "from", "to", F.explode(F.expr(f"sequence(from div {block}, (to - 1) div {block})")).alias("rank"))
+        .select("row", "ordinal", "lap", "from", "to", F.explode(F.expr(f"sequence(from div {block}, (to - 1) div {block})")).alias("rank"))
         .withColumn("words", F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block))
     )
-    taken = parts.join(slots, ["ordinal", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    return laid.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).cast("long").alias("taken"))
+    return pieces.join(slot_schedule(targets, block), ["ordinal", "rank"]).select("row", "lap", "from", "rank", "slot", "words")
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    block: int = 1024,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, first_slot.
+
+    Each source's documents are shuffled by a hash of seed and id and laid end
+    to end, ``most`` times over; that stream is cut into blocks of ``block``
+    words.  The schedule's slot of rank r takes block r, the last one only up
+    to the rounded target.  ``taken`` sums what the slots take of a document and
+    ``first_slot`` is the earliest slot that takes some of it (null: none).  So
+    a source's taken words equal its rounded target and no document passes
+    ``most`` times its size.
 
+    Null text has size 0.  A null source is a source, the last.  Repeated rows
+    are separate documents; rows that share an id are ordered by size and text.
+    Null ids are shuffled by their text.  An empty table gives an empty result.
+    """
+    row = free_name(docs, "row")
+    laid, targets = _laid(docs.withColumn(row, F.monotonically_increasing_id()), row, weights, share, most, seed, id_col, text_col, source_col)
+    taken = _parts(laid, targets, most, block).groupBy("row").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot"))
+    return laid.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot")
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    block: int = 1024,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """``docs`` repeated or left out as the mix takes them, columns unchanged.
 
-    A document stands as often as its taken words hold its size, rounded half
-    up.  Rows that repeat an id stand as often as the first of them would; a
-    null id is left out.
+    A row stands as often as its taken words hold its size, rounded half up, and
+    each copy at the slot that takes its first word: the result is sorted by
+    slot, so any stretch of it is close to the target weights.  Rows are followed
+    by a number of their own, so null and repeated ids are mixed like others.
+    Rows without words have no share in the mix and are left out.
     """
-    taken = mix_sources(docs, id_col=id_col, **settings).where("size > 0 and doc_id is not null")
-    times = taken.groupBy(F.col("doc_id").alias(id_col)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")).where("__times > 0")
-    return docs.join(times, id_col).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    row = free_name(docs, "row")
+    keyed = numbered(docs, row)
+    laid, targets = _laid(keyed, row, weights, share, most, seed, id_col, text_col, source_col)
+    parts = _parts(laid, targets, most, block).groupBy("row", "lap").agg(F.sum("words").alias("words"), F.min_by("slot", "rank").alias("slot"))
+    times = parts.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("lap", "slot"))).alias("laps"))  # at most ``most`` laps
+    copies = (
+        times.join(laid.select("row", "size"), "row")
+        .withColumn("laps", F.slice("laps", 1, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")))
+        .select(F.col("row").alias(row), F.explode("laps").alias("lap"))
+    )
+    number, slot = free_name(docs, "copy_number"), free_name(docs, "copy_slot")
+    copies = copies.select(row, F.col("lap.lap").alias(number), F.col("lap.slot").alias(slot))
+    return keyed.join(copies, row).repartitionByRange(F.col(slot), F.col(row)).sortWithinPartitions(slot, row, number).select(docs.columns)

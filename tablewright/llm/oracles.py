@@ -37,16 +37,23 @@ select d.doc_id, len(ws)::bigint n_words, count(gone.i)::bigint n_removed, sha25
 from d left join u using (doc_id) left join gone on gone.doc_id = u.doc_id and gone.i = u.i group by d.doc_id, ws"""
 
 OP7 = rf"""
-with d as (select doc_id, source, len({_WORDS})::bigint size, md5('mix|' || doc_id::varchar) h from documents),
+with d as (select doc_id, source, len({_WORDS})::bigint size, md5('mix|' || doc_id::varchar) h, md5(coalesce(text, '')) k from documents),
 s as (select source, sum(size)::bigint source_size, row_number() over (order by source is null, source) - 1 o from d group by source),
 c as (select *, ([3.0, 1.0, 2.0]::double[])[(o % 3 + 1)::int] weight, source_size::double * 2.0::double cap from s),
 f as (select *, sum(source_size) over ()::double * 1.5::double pool, coalesce(sum(cap) over (order by cap / weight, o rows between unbounded preceding and 1 preceding), 0) filled,
   sum(weight) over (order by cap / weight, o rows between current row and unbounded following) open from c),
 v as (select *, max(case when (pool - filled) / open <= cap / weight then (pool - filled) / open end) over () level from f),
-t as (select source, source_size, least(cap, coalesce(level, 'infinity'::double) * weight) target from v),
-x as (select doc_id, size, t.source_size, target, floor(target + 0.5)::bigint taking, coalesce(sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint a
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, (greatest(0, least(a + size, taking) - a) + greatest(0, least(a + source_size + size, taking) - a - source_size))::bigint taken from x"""
+t as (select source, o, source_size, least(cap, coalesce(level, 'infinity'::double) * weight) target from v),
+q as (select *, floor(target + 0.5)::bigint taking from t), n as (select o, ((taking + 1023) // 1024)::bigint slots from q),
+w as (select o, slots, coalesce(sum(slots) over (order by o rows between unbounded preceding and 1 preceding), 0)::bigint low, sum(slots) over () total from n),
+b as (select o, unnest(range(low, low + slots)) point, greatest(1, length(bin((greatest(total, 1) - 1)::bigint))) bits from w),
+g as (select o, list_sum(list_transform(range(0, bits), lambda j: ((point >> j) & 1) * (1::bigint << (bits - 1 - j))))::bigint slot from b),
+e as (select o, slot, row_number() over (partition by o order by slot) - 1 r from g),
+x as (select doc_id, q.o, size, q.source_size, target, taking, coalesce(sum(size) over (partition by d.source order by h, doc_id, size, k rows between unbounded preceding and 1 preceding), 0)::bigint a
+  from d join q on d.source is not distinct from q.source),
+l as (select *, a + lap * source_size f, least(a + lap * source_size + size, taking) u from x, (values (0), (1)) y(lap)),
+p as (select doc_id, sum(least(u, (r + 1) * 1024) - greatest(f, r * 1024))::bigint taken, min(slot) first_slot from l join e on l.o = e.o and r >= f // 1024 and r <= (u - 1) // 1024 where size > 0 and f < u group by 1)
+select x.doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken, first_slot from x left join p using (doc_id)"""
 
 OP8 = """
 with recursive e as (select vec_id, label, embedding::double[] v from embeddings where label is not null and embedding is not null),
