@@ -3,403 +3,434 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import _exchange as X
 from tablewright.llm import _text as T
-from tablewright.llm._spark import durable, partitions
+from tablewright.llm._spark import durable, free_name, numbered
 from tablewright.llm.components import connected_components
 
 SHINGLE = 5
-#: Sketches of a document, and labelled shingles sampled for each.  A pair with
-#: 0.8 or more of its shingles in common, in one order, shares no sketch with
-#: probability (1 - 0.8**5)**40 < 2e-7 for long texts, and below 5e-6 (12 of 15
-#: shingles shared) for any pair of which one text has more than ``FEW``.
-SKETCHES, SAMPLED = 40, 5
-#: Texts of at most so many shingles are found by exact keys, see :func:`few_keys`.
+#: Sketches of a document, and labelled shingles sampled for each.  Two texts of
+#: which a share J of the shingles is common, in one order, agree in one sketch
+#: with probability about J**2; they meet in one of all with 1 - (1 - J**2)**32,
+#: which is 0.98 at J = 0.34 and 0.999 at J = 0.45.
+SKETCHES, SAMPLED = 32, 2
+#: Texts of at most so many shingles also meet in every shingle they share.
 FEW = 10
+#: Buckets of a text's bag of words, each a byte.
+BAG = 128
+#: Members of a sketch group that one task compares with as many others, and
+#: rows that it holds in all.
+TILE, TASK_ROWS = 512, 20_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, SKETCHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = np.random.default_rng(8).integers(1, 1 << 63, SAMPLED, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def labelled_shingles(hashes: np.ndarray) -> np.ndarray:
-    """Five-word shingles of one document, each with the number of its occurrence."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    grams = T.window_hashes(hashes, min(SHINGLE, len(hashes)))
+# --- one document -----------------------------------------------------------
+
+
+def labelled_shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """``size``-word shingles of one document, each with the number of its occurrence."""
+    grams = T.window_hashes(hashes, size)
+    if not len(grams):
+        return grams
     order, begin = T.group_sorted(grams, stable=True)
     occurrence = np.empty(len(grams), np.uint64)
     occurrence[order] = np.arange(len(grams)) - np.repeat(begin, np.diff(np.append(begin, len(grams))))
     return T.mix(grams + occurrence * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sketches and, for each, a byte of its least shingle.
-
-    A sketch hashes the ``SAMPLED`` least shingles under its own order, taken in
-    the order of the text, so texts with the same shingles in another order
-    differ.
-    """
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The order sketches: the ``SAMPLED`` least shingles under each order, in the order of the text."""
     ranked = shingles[None, :] * _ODD[:, None]
-    take = min(SAMPLED, len(shingles))
-    least = np.argpartition(ranked, take - 1, axis=1)[:, :take] if len(shingles) > take else np.tile(np.arange(take), (SKETCHES, 1))
-    values = np.take_along_axis(ranked, least, axis=1)
-    top = shingles[np.take_along_axis(least, values.argmin(axis=1)[:, None], axis=1)[:, 0]]
+    least = np.empty((SKETCHES, min(SAMPLED, len(shingles))), np.int64)
+    rows = np.arange(SKETCHES)
+    for j in range(least.shape[1]):
+        least[:, j] = ranked.argmin(axis=1)
+        ranked[rows, least[:, j]] = np.iinfo(np.uint64).max
     least.sort(axis=1)
-    sums = (shingles[least] * _ORDER[:take]).sum(axis=1, dtype=np.uint64)
-    return T.mix(sums ^ _ODD), (T.mix(top ^ _ODD) & np.uint64(255)).astype(np.uint8)
-
+    return T.mix((shingles[least] * _ORDER[: least.shape[1]]).sum(axis=1, dtype=np.uint64) ^ _ODD)
 
-def few_keys(shingles: np.ndarray, least: float) -> np.ndarray:
-    """Keys of a text of at most ``FEW`` shingles that every similar such text shares.
 
-    What a similar pair has in common leaves out at most ``1 - least`` of
-    either's shingles, so each text gives a key for every set that leaves out so
-    many of its own; the common set is among them on both sides.
-    """
-    values = shingles.tolist()
-    gone = [sum(some) for out in range(int((1 - least) * len(values) + 1e-9) + 1) for some in combinations(values, out)]
-    sums = [(sum(values) - g) & 0xFFFFFFFFFFFFFFFF for g in gone]
-    return T.mix(np.array(sums, np.uint64) ^ _ORDER[0])
+def keys_of(hashes: np.ndarray) -> np.ndarray:
+    """The keys that bring a text together with its candidates; none below five words."""
+    shingles = labelled_shingles(hashes)
+    if not len(shingles):
+        return shingles
+    if len(shingles) > FEW:
+        return sketch(shingles)
+    return np.unique(np.concatenate((sketch(shingles), T.mix(shingles ^ _ORDER[0]))))
 
 
-def _keys(shingles: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The keys that bring a text together with its candidates, and its sketches' bytes.
+def bag_of(hashes: np.ndarray) -> np.ndarray:
+    """Words counted in ``BAG`` buckets, 255 at most.
 
-    A text too short to be similar to one of more than ``FEW`` shingles needs
-    no sketch as a key.
+    An edit moves the sum of absolute differences by 2 at most, and cutting the
+    counts off only lowers it, so bags tell for sure which texts are too far.
     """
-    values, top = sketch(shingles)
-    if len(shingles) > FEW:
-        return values, top
-    exact = few_keys(shingles, least)
-    return (exact if len(shingles) <= least * FEW + 1e-9 else np.concatenate((values, exact))), top
+    return np.minimum(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
 
 
 def _hashes(text: str | None) -> np.ndarray:
-    data = (text or "").encode()
-    buf = np.frombuffer(data, np.uint8)
+    buf = np.frombuffer((text or "").encode(), np.uint8)
     if not len(buf):
         return np.zeros(0, np.uint64)
     begin, end, _ = T.words(buf, np.array([0, len(buf)]))
     return T.word_hashes(buf, begin, end)
 
 
+def _print(text: str) -> bytes:
+    return hashlib.blake2b(b" ".join(text.encode().split()), digest_size=16).digest()
+
+
+# --- a pair -----------------------------------------------------------------
+
+
+def most_edits(n: int, m: int, least: float) -> int:
+    """Edits that leave two texts of ``n`` and ``m`` words similar."""
+    return int((1 - least) * max(n, m) + 1e-9)
+
+
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Word edit distance of ``a`` and ``b`` if it is at most ``most``.
 
-    A band of diagonals around the main one is followed: for d = 0, 1, ... the
-    furthest word reached on each diagonal with d edits, sliding along equal
-    words up to the diagonal's next mismatch.
+    Banded alignment: of every column of the edit matrix only the ``2 most + 1``
+    cells around the diagonal are kept, as the bits of two integers that say
+    where the distance rises and falls from one cell to the next; a column costs
+    a dozen operations on these integers.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-    stops: dict[int, list[int]] = {}
-
-    def slide(k: int, i: int) -> int:
-        """From word i of ``a`` on diagonal k (word i + k of ``b``)."""
-        if k not in stops:
-            low, high = max(0, -k), min(n, m - k)
-            stops[k] = (np.flatnonzero(a[low:high] != b[low + k : high + k]) + low).tolist() + [max(low, high)]
-        at = bisect_left(stops[k], i)
-        return max(i, stops[k][at]) if at < len(stops[k]) else i
-
-    reached = {0: slide(0, 0)}
-    d = 0
-    while reached.get(m - n, -1) < n:
-        d += 1
-        if d > most:
-            return None
-        after = {}
-        for k in range(-d, d + 1):
-            if not -n <= k <= m:
-                continue
-            i = max(reached.get(k, -2) + 1, reached.get(k - 1, -2), reached.get(k + 1, -2) + 1)
-            if i < 0:
-                continue
-            i = min(i, n, m - k)
-            after[k] = slide(k, i)
-        reached = after
-    return d
+    width = 2 * most + 1
+    whole, bottom = (1 << width) - 1, 1 << (2 * most)
+    places: dict[int, int] = {}
+    needed = set(b.tolist())
+    for r, word in enumerate(a.tolist()):
+        if word in needed:
+            places[word] = places.get(word, 0) | (1 << r)
+    # Bit k of column j stands for row j - most + k; rows above the first do not rise.
+    rises, falls = whole ^ ((1 << most) - 1), 0
+    distance = most if n >= most else n
+    for j, word in enumerate(b.tolist()):
+        at = places.get(word, 0)
+        shift = j - most
+        match = (at >> shift if shift >= 0 else at << -shift) & whole
+        same = ((((match & rises) + rises) ^ rises) | match | falls) & whole
+        right_up = (falls | ~(same | rises)) & whole
+        right_down = same & rises
+        row_end = n - 1 - j + most  # the bit of the last row in this column
+        if row_end >= 2 * most:
+            distance += not same & bottom
+        else:
+            distance += ((right_up >> row_end) & 1) - ((right_down >> row_end) & 1)
+        down = same >> 1
+        rises = (right_down | ~(down | right_up)) & whole
+        falls = down & right_up
+    return distance if distance <= most else None
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether two word sequences are near duplicates.
 
-    The Jaccard similarity of their labelled shingles and their alignment, one
-    minus edits over the longer length, must both reach ``least``.
+    They are when they share a five-word shingle and their alignment, one minus
+    edits over the longer length, reaches ``least``.  An edit breaks at most
+    three 3-word shingles, so pairs with too few of these in common need no
+    alignment.
     """
-    x, y = labelled_shingles(a), labelled_shingles(b)
-    if not len(x) or not len(y):
+    most = most_edits(len(a), len(b), least)
+    if abs(len(a) - len(b)) > most or not _shared(labelled_shingles(a), labelled_shingles(b)):
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both < least * (len(x) + len(y) - both) - 1e-9:
+    if _shared(labelled_shingles(a, 3), labelled_shingles(b, 3)) < max(len(a), len(b)) - 2 - 3 * most:
         return False
-    return _aligned(a, b, least)
+    return edit_distance_within(a, b, most) is not None
 
 
-def _aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    return edit_distance_within(a, b, int((1 - least) * max(len(a), len(b)) + 1e-9)) is not None
+# --- tasks ------------------------------------------------------------------
 
 
-def _print(text: str) -> bytes:
-    return hashlib.blake2b(b" ".join(text.encode().split()), digest_size=16).digest()
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_words, prints, keys, bags = [], [], [], []
+        for text in batch.column(1).to_pylist():
+            hashes = _hashes(text)
+            n_words.append(len(hashes))
+            prints.append(_print(text) if len(hashes) else None)
+            keys.append(keys_of(hashes).view(np.int64))
+            bags.append(bag_of(hashes).tobytes() if len(hashes) >= SHINGLE else None)
+        ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bags, pa.binary())],
+            ["row", "n_words", "print", "keys", "bag"],
+        )
+
+
+def _may_be_similar(least: float):
+    """Pairs of a batch whose lengths and bags allow similarity."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(j).to_numpy() for j in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(j).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for j in (4, 5))
+            most = ((1 - least) * np.maximum(n, m) + 1e-9).astype(np.int64)
+            ok = (np.abs(n - m) <= most) & (np.abs(x - y).sum(axis=1) <= 2 * most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [_print(t.as_py() or "") == p.as_py() for p, t in zip(batch.column(1), batch.column(2), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["node", "text"]).filter(pa.array(own, pa.bool_()))
+    return run
 
 
-def _sketch_rows(least: float):
+def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hashes = None, None
         for batch in batches:
-            out: dict = {"doc_id": batch.column(0), "n_words": [], "print": [], "sketches": [], "bytes": []}
-            for j in range(batch.num_rows):
-                text = batch.column(1)[j].as_py() or ""
-                hashes = _hashes(text)
-                out["n_words"].append(len(hashes))
-                out["print"].append(_print(text) if len(hashes) else None)
-                if len(hashes):
-                    values, top = _keys(labelled_shingles(hashes), least)
-                    out["sketches"].append(values.view(np.int64).tolist())
-                    out["bytes"].append(top.tobytes())
-                else:
-                    out["sketches"].append(None)
-                    out["bytes"].append(None)
-            out["sketches"] = pa.array(out["sketches"], pa.list_(pa.int64()))
-            out["bytes"] = pa.array(out["bytes"], pa.binary())
-            out["print"] = pa.array(out["print"], pa.binary())
-            out["n_words"] = pa.array(out["n_words"], pa.int64())
-            yield pa.RecordBatch.from_pydict(out)
+            ok = []
+            for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if b != last:
+                    last, hashes = b, _hashes(text_b)
+                ok.append(similar(_hashes(text_a), hashes, least))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _promising(least: float, most: int):
-    """For every document of a sketch group, its ``most`` best partners, twice.
+def _units(table: pa.Table) -> Iterator[np.ndarray]:
+    """Row positions of each tile pair in a task's rows."""
+    columns = [table.column(c).to_numpy() for c in ("sketch", "length_class", "low", "high")]
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    yield from np.split(order, np.flatnonzero(new)[1:])
+
+
+def _pairs(unit: np.ndarray, columns: dict[str, np.ndarray], bags: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each first member of a unit, the positions it must be compared with.
 
-    Partners are members of the same group, in another component so far, whose
-    least shingles agree often enough.  Best are those that agree most with the
-    document, and those that agree most with the whole group: the common origin
-    of many copies is found by the second, a twin by the first.
+    A unit compares its tile ``low`` with its tile ``high``; members of the
+    length class itself with each other, and with those of the class below.
+    Partners are in another component and near enough in length and bag.
     """
-    needed = int(np.ceil(SKETCHES * (least - 0.2)))
+    tile, own, low, high, n, component = (columns[c][unit] for c in ("tile", "own", "low", "high", "n_words", "component"))
+    first = np.flatnonzero(own & (tile == low))
+    second = np.flatnonzero(tile == high)
+    mirrored = np.flatnonzero(own & (tile == high)) if low[0] != high[0] else first[:0]
+    below = np.flatnonzero(~own & (tile == low)) if low[0] != high[0] else first[:0]
+    bag = bags[unit].astype(np.int16)
+    for lefts, rights in ((first, second), (mirrored, below)):
+        for i in lefts.tolist():
+            j = rights
+            if low[0] == high[0]:
+                j = j[(j > i) | ~own[j]]
+            most = ((1 - least) * np.maximum(n[j], n[i]) + 1e-9).astype(np.int64)
+            j = j[(component[j] != component[i]) & (np.abs(n[j] - n[i]) <= most)]
+            if not len(j):
+                continue
+            most = ((1 - least) * np.maximum(n[j], n[i]) + 1e-9).astype(np.int64)
+            j = j[np.abs(bag[j] - bag[i]).sum(axis=1) <= 2 * most]
+            if len(j):
+                yield int(unit[i]), unit[j]
+
+
+_MEMBER = ("sketch", "length_class", "low", "high", "tile", "own", "node", "component", "n_words")
+
+
+def _columns(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+    return {c: table.column(c).to_numpy() for c in _MEMBER}, bags
+
+
+def _flagged(least: float):
+    """The members of a task's units that have a partner to be compared with."""
 
     def run(table: pa.Table) -> pa.Table:
-        key = table.column("sketch").to_numpy()
-        node = table.column("node").to_numpy()
-        group = table.column("component").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, SKETCHES)
-        order = np.lexsort((node, key))
-        key, node, group, bits = key[order], node[order], group[order], bits[order]
-        begin = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        a, b, agree, central = [], [], [], []
-        for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            if (group[s:e] == group[s]).all():
-                continue
-            across = np.ascontiguousarray(bits[s:e].T)
-            # How often each member's bytes are the group's: its mean agreement.
-            own = np.zeros(e - s)
-            for f in range(SKETCHES):
-                own += np.bincount(across[f], minlength=256)[across[f]]
-            own = (own * (1000 / (e - s))).astype(np.int64)
-            for low in range(s, e, 256):
-                high = min(e, low + 256)
-                alike = np.zeros((high - low, e - s), np.uint8)
-                for f in range(SKETCHES):
-                    alike += bits[low:high, f, None] == across[f]
-                alike[(group[low:high, None] == group[None, s:e]) | (alike < needed)] = 0
-                some = np.flatnonzero(alike.any(axis=1))
-                if not len(some):
-                    continue
-                alike = alike[some].astype(np.int64)
-                for value in (alike * 100_000 + own, alike + own * 100):
-                    value = np.where(alike > 0, value, -1)
-                    take = min(most, e - s)
-                    best = np.argpartition(value, e - s - take, axis=1)[:, e - s - take :] if take < e - s else np.tile(np.arange(e - s), (len(some), 1))
-                    i, j = np.nonzero(np.take_along_axis(value, best, axis=1) >= 0)
-                    j = best[i, j]
-                    a.append(node[low + some[i]])
-                    b.append(node[s + j])
-                    agree.append(alike[i, j])
-                    central.append(own[j])
-        x, y, z, c = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, agree, central))
-        found = np.unique(np.stack([x, y, z, c]), axis=1)
-        return pa.table({n: found[j].astype(np.int64) for j, n in enumerate(("node", "partner", "agree", "central"))})
+        columns, bags = _columns(table)
+        some = np.zeros(table.num_rows, bool)
+        for unit in _units(table):
+            for i, j in _pairs(unit, columns, bags, least):
+                some[i] = True
+                some[j] = True
+        return table.filter(pa.array(some)).select(["part", *_MEMBER, "bag"])
 
     return run
 
 
 def _crossing(least: float):
-    """Links of one sketch group between components, found and verified here.
-
-    The group's labelled shingles are indexed once; each member outside the
-    largest component looks its own up and counts what it shares with every
-    other.  Pairs that reach the similarity are aligned as long as their
-    components are apart, so a task gives fewer links than it has members.
-    """
+    """Links between components, verified here; one for each two that are joined."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, node, group = (table.column(c).to_numpy() for c in ("sketch", "node", "component"))
+        columns, bags = _columns(table)
         texts = table.column("text")
         words: dict[int, np.ndarray] = {}
-        for j, v in enumerate(node.tolist()):
-            if v not in words:
-                words[v] = _hashes(texts[j].as_py())
-        shingles = {v: labelled_shingles(h) for v, h in words.items()}
-        parent = {int(g): int(g) for g in group}
+        parent: dict[int, int] = {}
 
         def root(g: int) -> int:
+            parent.setdefault(g, g)
             while parent[g] != g:
                 parent[g] = g = parent[parent[g]]
             return g
 
-        order = np.lexsort((node, key))
-        begin = np.concatenate(([0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(key)]))
-        found = []
-        for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            members = order[s:e]
-            names, place, counts = np.unique([root(g) for g in group[members].tolist()], return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                continue
-            sets = [shingles[v] for v in node[members].tolist()]
-            sizes = np.array([len(x) for x in sets])
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(members)), sizes)
-            by = np.argsort(flat)
-            flat, owner = flat[by], owner[by]
-            first = np.concatenate(([0], np.flatnonzero(flat[1:] != flat[:-1]) + 1))
-            distinct, ends = flat[first], np.append(first[1:], len(flat))
-            for i in np.flatnonzero(place != counts.argmax()).tolist():
-                at = np.searchsorted(distinct, sets[i])
-                length = ends[at] - first[at]
-                upto = np.cumsum(length)
-                shared = np.bincount(owner[np.repeat(first[at] - (upto - length), length) + np.arange(upto[-1])], minlength=len(members))
-                ok = (shared >= least * (sizes + sizes[i] - shared) - 1e-9) & (place != place[i])
-                x, g = int(node[members[i]]), int(group[members[i]])
-                for j in np.flatnonzero(ok)[np.argsort(-shared[ok])].tolist():
-                    y, h = int(node[members[j]]), int(group[members[j]])
-                    if root(g) != root(h) and _aligned(words[x], words[y], least):
+        def hashes(i: int) -> np.ndarray:
+            node = int(columns["node"][i])
+            if node not in words:
+                words[node] = _hashes(texts[i].as_py())
+            return words[node]
+
+        found: set[tuple[int, int]] = set()
+        compared: set[tuple[int, int]] = set()
+        for unit in _units(table):
+            for i, partners in _pairs(unit, columns, bags, least):
+                x, g = int(columns["node"][i]), int(columns["component"][i])
+                for j in partners.tolist():
+                    y, h = int(columns["node"][j]), int(columns["component"][j])
+                    pair = (min(x, y), max(x, y))
+                    if root(g) == root(h) or pair in compared:
+                        continue
+                    compared.add(pair)
+                    if similar(hashes(i), hashes(j), least):
                         parent[max(root(g), root(h))] = min(root(g), root(h))
-                        found.append((min(x, y), max(x, y)))
+                        found.add(pair)
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return run
 
 
-def _verify(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok, last, hashes = [], None, None
-            for j in range(batch.num_rows):
-                a = batch.column(0)[j].as_py()
-                if a != last:
-                    last, hashes = a, _hashes(batch.column(2)[j].as_py())
-                ok.append(similar(hashes, _hashes(batch.column(3)[j].as_py()), least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
+# --- the whole --------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, copies, n_spanning_links, class_id, kept.
-
-    Documents with equal word sequences form a class, which its least id
-    represents.  Representatives that share a sketch, or an exact key where both
-    have few shingles, are candidates; a candidate pair is linked when
-    :func:`similar` holds on the whole texts.  ``n_spanning_links``
-    counts those of a representative's links that were verified to join its
-    class, not all it has; which these are depends on the order of the search.
-    ``class_id`` is the least id reachable, and ``kept`` marks the row with that
-    id.  Two rounds spare pairs that cannot
-    change a class: the first verifies each document's best partners (see
-    :func:`_promising`); the second counts the shingles of all other pairs that
-    share a sketch but no component and aligns the similar ones (see
-    :func:`_crossing`), so a pair that was never verified lies inside one class.
-
-    Null and wordless texts never link.  A text of fewer than five words links
-    to equal ones only.  A null id cannot represent a class; where all are null
-    the class id is null and every row is kept.
-    """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def _classes(keyed: DataFrame, row: str, least: float, id_col: str, text_col: str) -> DataFrame:
+    """``(row, doc_id, n_words, copies, class_id, kept)`` of a numbered table."""
+    spark = keyed.sparkSession
+    slim = keyed.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    ids = keyed.select(F.col(f"`{row}`").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     with X.small_batches(spark):
-        sketched = durable(slim.mapInArrow(_sketch_rows(least), "doc_id long, n_words long, print binary, sketches array<long>, bytes binary"))
-    worded = sketched.where("print is not null")
+        sketched = durable(slim.mapInArrow(_sketch_rows, "row long, n_words long, print binary, keys array<long>, bag binary").join(ids, "row"))
+    # The row that stands for a class: least id, null ids last, then the least number.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     classes = durable(
-        worded.groupBy("print")
-        .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sketches").alias("sketches"), F.first("bytes").alias("bytes"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    each = classes.select("node", F.explode("sketches").alias("sketch"))
-    shared = each.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("sketch")
-    met = durable(each.join(shared, "sketch").join(classes.select("node", "bytes"), "node"))
-    n = 4 * partitions(spark)
-
-    def placed(parts: DataFrame | None) -> DataFrame:
-        """Sketch groups that hold more than one component, with every member's."""
-        named = met.withColumn("component", F.col("node")) if parts is None else met.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("sketch").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-        return named.join(mixed.select("sketch", "size"), "sketch").withColumn("part", F.pmod(F.xxhash64("sketch"), F.lit(n)))
-
-    def best_pairs(parts: DataFrame | None, most: int) -> DataFrame:
-        told = placed(parts).groupBy("part").applyInArrow(_promising(least, most), "node long, partner long, agree long, central long")
-        each_pair = told.groupBy("node", "partner").agg(F.max("agree").alias("agree"), F.max("central").alias("central"))
-        nearest = Window.partitionBy("node").orderBy(F.desc("agree"), F.desc("central"), "partner")
-        middle = Window.partitionBy("node").orderBy(F.desc("central"), F.desc("agree"), "partner")
-        ranked = each_pair.select("node", "partner", F.least(F.row_number().over(nearest), F.row_number().over(middle)).alias("rank"))
-        return ranked.where(F.col("rank") <= most).select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        """Texts of representatives, found by their id."""
-        wanted = nodes.distinct().join(classes.select("node", "first", "print"), "node")
-        found = slim.join(wanted.select(F.col("first").alias("doc_id"), "node", "print"), "doc_id").select("node", "print", "text")
-        # Rows may repeat an id with another text: only the class's own counts.
-        return durable(found.mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]))
+        sketched.where("print is not null").groupBy("print").agg(first, F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("bag").alias("bag"), F.first("n_words").alias("n_words"))
+    ).withColumn("node", F.col("first.row"))
+    each = classes.select("node", F.explode("keys").alias("sketch"))
+    groups = each.groupBy("sketch").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub"), F.max("node").alias("far")).where("members > 1")
+    met = durable(each.join(groups, "sketch"))
+    traits = classes.select("node", "n_words", "bag")
+    texts = slim.withColumnRenamed("row", "node")
+
+    def both(pairs: DataFrame, frame: DataFrame, columns: list[str]) -> DataFrame:
+        """``pairs`` with columns of both ends; b, the end with many pairs, first."""
+        for end in ("b", "a"):
+            pairs = pairs.join(frame.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+        return pairs
 
     def verified(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-        full = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        order = ["a", "b", "n_words_a", "n_words_b", "bag_a", "bag_b"]
+        near = durable(both(pairs, traits, ["n_words", "bag"]).select(order).mapInArrow(_may_be_similar(least), "a long, b long"))
         with X.small_batches(spark):
-            return durable(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"))
+            full = both(near, texts, ["text"]).select("a", "b", "text_a", "text_b")
+            return durable(full.mapInArrow(_verify(least), "a long, b long"))
 
-    links = verified(durable(best_pairs(None, 1)))
+    # First each member against two of its group: rows, not pairs of a group.
+    star = met.select(F.col("node").alias("a"), F.explode(F.array("hub", "far")).alias("b")).where("a <> b").distinct()
+    links = verified(star)
     parts = connected_components(links)
-    # What the first round left out: pairs of one sketch between components.
-    rest = durable(placed(parts).select("part", "sketch", "node", "component"))
-    crossing = rest.join(texts_of(rest.select("node")), "node").groupBy("part").applyInArrow(_crossing(least), "a long, b long")
-    more = durable(crossing.distinct())
+    more = _between_components(met, parts, traits, texts, least)
     if not more.isEmpty():
-        links = durable(links.union(more).distinct())
-        parts = connected_components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_spanning_links"))
-    owned = classes.select("node", "print", "first", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least_id = owned.groupBy("component").agg(F.min("first").alias("class_id"))
-    named = owned.join(least_id, "component").join(degree, "node", "left").select("print", "copies", "n_spanning_links", "class_id")
-    return sketched.select("doc_id", "n_words", "print").join(named, "print", "left").select(
+        parts = connected_components(links.union(more))
+    owned = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    winner = owned.groupBy("component").agg(F.min("first").alias("winner"))
+    named = owned.join(winner, "component").select("print", "copies", "winner")
+    own = sketched.select("row", "doc_id", "n_words", "print").join(named, "print", "left")
+    return own.select(
+        "row",
         "doc_id",
         "n_words",
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
-        F.coalesce("n_spanning_links", F.lit(0)).cast("long").alias("n_spanning_links"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.col("class_id").isNull()).alias("kept"),
+        F.when(F.col("winner").isNull(), F.col("doc_id")).otherwise(F.col("winner.doc_id")).alias("class_id"),
+        F.coalesce(F.col("row") == F.col("winner.row"), F.lit(True)).alias("kept"),
     )
 
 
+def _between_components(met: DataFrame, parts: DataFrame, traits: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links between members of a sketch group that are in two components so far.
+
+    Groups that hold one component are done.  In the others, a member goes to
+    its length class and, as the shorter side, to the next: similar texts differ
+    by a class at most.  Classes are cut into tiles of about ``TILE`` members and
+    each two tiles are a unit of work, many small units to a task, so that no
+    task grows with a group.  Members without a near enough bag drop out before
+    texts are fetched.
+    """
+    named = met.select("sketch", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("sketch").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sketch")
+    step = float(-np.log(least)) + 1e-9
+    classed = named.join(mixed, "sketch").join(traits, "node").withColumn("length_class", F.floor(F.log("n_words") / step).cast("int"))
+    sides = classed.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("length_class", F.when(F.col("own"), F.col("length_class")).otherwise(F.col("length_class") + 1))
+    key = ["sketch", "length_class"]
+    sizes = (
+        sides.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("members"), F.max("own").alias("any"), F.min("component").alias("c_low"), F.max("component").alias("c_high"))
+        .where("any and c_low < c_high")
+        .select(*key, F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+    )
+    placed = (
+        sides.join(sizes, key)
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+    )
+    placed = durable(placed.select("sketch", "length_class", "low", "high", "tile", "own", "node", "component", F.col("n_words").cast("long").alias("n_words"), "bag"))
+    n_parts = max(1, -(-placed.count() // TASK_ROWS)) * 4
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("sketch", "length_class", "low", "high"), F.lit(n_parts)).cast("long"))
+    member = "part long, sketch long, length_class int, low int, high int, tile int, own boolean, node long, component long, n_words long, bag binary"
+    flagged = durable(dealt.groupBy("part").applyInArrow(_flagged(least), member))
+    with_text = flagged.join(texts, "node")
+    return durable(with_text.groupBy("part").applyInArrow(_crossing(least), "a long, b long").distinct())
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, copies, class_id, kept.
+
+    Documents with equal word sequences are one node.  Nodes that share a key
+    (see :func:`keys_of`) are candidates; a pair is linked when :func:`similar`
+    holds on the whole texts, that is when the banded alignment says so.
+    ``class_id`` is the least id reachable by links and ``kept`` marks one row
+    of each class, the first with that id.
+
+    Every candidate pair that could join two classes is decided.  First each
+    node is compared with two fixed members of each of its groups, then what
+    still lies in different components is compared tile against tile (see
+    :func:`_between_components`); pairs inside one component are spared.
+
+    Null and wordless texts never link and are all kept.  A text of fewer than
+    five words has no shingle and links to equal ones only.  Of rows that repeat
+    an id, each is a document of its own; a null id is larger than any other, so
+    a class is null only where all ids are.  Very long texts are compared whole.
+    An empty table gives an empty result.
+    """
+    row = free_name(docs, "row")
+    return _classes(numbered(docs.select(id_col, text_col), row), row, least, id_col, text_col).drop("row")
+
+
 def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of :func:`near_duplicates`, columns unchanged.
 
-    Rows equal in id and text count as one; wordless texts all stay.
+    Rows are followed by a number of their own, so repeated and null ids lose or
+    keep exactly the rows that ``kept`` says; wordless texts all stay.
     """
-    kept = near_duplicates(docs, least, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    some = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return some.select(docs.columns).union(docs.where(F.col(f"`{id_col}`").isNull()))
+    row = free_name(docs, "row")
+    keyed = numbered(docs, row)
+    kept = _classes(keyed, row, least, id_col, text_col).where("kept").select(F.col("row").alias(row))
+    return keyed.join(kept, row, "left_semi").select(docs.columns)
