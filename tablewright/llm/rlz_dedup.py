@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablewright.llm import _exchange as X
 from tablewright.llm import _text as T
+from tablewright.llm._spark import free_name
 
 ANCHOR = 10
 
@@ -207,7 +209,8 @@ def without_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", tex
     document of which no word is left goes.  A null text stays null.
     """
     others = tuple(c for c in docs.columns if c != text_col)
-    found, n = _exchanges(docs.withColumn("__null", docs[text_col].isNull()), size, id_col, text_col, (*others, "__null"))
+    none = free_name(docs, "no_text")
+    found, n = _exchanges(docs.withColumn(none, F.col(f"`{text_col}`").isNull()), size, id_col, text_col, (*others, none))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +218,7 @@ def without_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", tex
             for block, row in X.unpack(batch):
                 n_words, n_removed, _, texts = _cleaned(block, *_old_seeds(block, X.answers_of(batch, row), size, n), size)
                 rest = block.rest()
-                texts = pa.array(texts, pa.binary(), mask=rest.column("__null").to_numpy(zero_copy_only=False).astype(bool)).cast(pa.string())
+                texts = pa.array(texts, pa.binary(), mask=rest.column(none).to_numpy(zero_copy_only=False).astype(bool)).cast(pa.string())
                 table = pa.table({f: texts if f == text_col else rest.column(f) for f in schema.names})
                 stays = (n_words == 0) | (n_removed < n_words)
                 yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
