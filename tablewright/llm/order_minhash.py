@@ -25,6 +25,8 @@ SKETCHES, SAMPLED = 32, 2
 FEW = 10
 #: Buckets of a text's bag of words, each a byte.
 BAG = 128
+#: Rounds in which each text is compared with one likely partner.
+ROUNDS = 2
 #: Members of a sketch group that one task compares with as many others, and
 #: rows that it holds in all.
 TILE, TASK_ROWS = 512, 20_000
@@ -59,13 +61,11 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def keys_of(hashes: np.ndarray) -> np.ndarray:
-    """The keys that bring a text together with its candidates; none below five words."""
+    """The keys that bring a text together with its candidates: its sketches first; none below five words."""
     shingles = labelled_shingles(hashes)
     if not len(shingles):
         return shingles
-    if len(shingles) > FEW:
-        return sketch(shingles)
-    return np.unique(np.concatenate((sketch(shingles), T.mix(shingles ^ _ORDER[0]))))
+    return np.concatenate((sketch(shingles), T.mix(shingles[:FEW] ^ _ORDER[0]) if len(shingles) <= FEW else shingles[:0]))
 
 
 def bag_of(hashes: np.ndarray) -> np.ndarray:
@@ -103,11 +103,19 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     Banded alignment: of every column of the edit matrix only the ``2 most + 1``
     cells around the diagonal are kept, as the bits of two integers that say
     where the distance rises and falls from one cell to the next; a column costs
-    a dozen operations on these integers.
+    a dozen operations on these integers.  What both begin or end with is cut
+    off first, which leaves the distance as it is.
     """
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
+    if abs(len(a) - len(b)) > most:
         return None
+    for _ in range(2):  # the common begin, then, reversed, the common end
+        k = min(len(a), len(b))
+        other = np.flatnonzero(a[:k] != b[:k])
+        cut = int(other[0]) if len(other) else k
+        a, b = a[cut:][::-1], b[cut:][::-1]
+    n, m = len(a), len(b)
+    if not n or not m:
+        return max(n, m)
     width = 2 * most + 1
     whole, bottom = (1 << width) - 1, 1 << (2 * most)
     places: dict[int, int] = {}
@@ -144,15 +152,11 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether two word sequences are near duplicates.
 
     They are when they share a five-word shingle and their alignment, one minus
-    edits over the longer length, reaches ``least``.  An edit breaks at most
-    three 3-word shingles, so pairs with too few of these in common need no
-    alignment.
+    edits over the longer length, reaches ``least``.
     """
     most = most_edits(len(a), len(b), least)
     if abs(len(a) - len(b)) > most or not _shared(labelled_shingles(a), labelled_shingles(b)):
         return False
-    if _shared(labelled_shingles(a, 3), labelled_shingles(b, 3)) < max(len(a), len(b)) - 2 - 3 * most:
-        return False
     return edit_distance_within(a, b, most) is not None
 
 
@@ -192,23 +196,84 @@ def _may_be_similar(least: float):
     return run
 
 
+class _Text:
+    """A text's word hashes and its labelled word pairs.
+
+    An edit breaks two pairs at most, so similar texts share at least
+    ``needed_pairs``; the number decides most comparisons without alignment.
+    """
+
+    def __init__(self, text: str | None):
+        self.hashes = _hashes(text)
+        self.pairs = labelled_shingles(self.hashes, 2)
+
+
+def needed_pairs(n, m, least: float):
+    longer = np.maximum(n, m)
+    return longer - 1 - 2 * ((1 - least) * longer + 1e-9).astype(np.int64)
+
+
+def _aligned(a: _Text, b: _Text, least: float) -> bool:
+    """:func:`similar` of two texts that are known to share a shingle."""
+    n, m = len(a.hashes), len(b.hashes)
+    most = most_edits(n, m, least)
+    if abs(n - m) > most or _shared(a.pairs, b.pairs) < max(n, m) - 1 - 2 * most:
+        return False
+    return edit_distance_within(a.hashes, b.hashes, most) is not None
+
+
+class _Index:
+    """The word pairs of some texts, to count what each shares with another."""
+
+    def __init__(self, texts: list[_Text]):
+        flat = np.concatenate([t.pairs for t in texts])
+        by = np.argsort(flat)
+        self.owner = np.repeat(np.arange(len(texts)), [len(t.pairs) for t in texts])[by]
+        self.keys, self.first = np.unique(flat[by], return_index=True)
+        self.size = np.diff(np.append(self.first, len(flat)))
+        self.n = len(texts)
+
+    def shared(self, text: _Text) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, text.pairs), len(self.keys) - 1)
+        at = at[self.keys[at] == text.pairs]
+        length = self.size[at]
+        ends = np.cumsum(length)
+        if not len(at):
+            return np.zeros(self.n, np.int64)
+        return np.bincount(self.owner[np.repeat(self.first[at] - (ends - length), length) + np.arange(ends[-1])], minlength=self.n)
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hashes = None, None
+        last, text = None, None
         for batch in batches:
             ok = []
             for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if b != last:
-                    last, hashes = b, _hashes(text_b)
-                ok.append(similar(_hashes(text_a), hashes, least))
+                    last, text = b, _Text(text_b)
+                ok.append(_aligned(_Text(text_a), text, least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _first_meeting(left: np.ndarray, right: np.ndarray, sketches: np.ndarray, group: int) -> np.ndarray:
+    """Which pairs share no sketch before that of this group (or none at all)."""
+    ok = np.ones(len(left), bool)
+    for low in range(0, len(left), 1 << 15):
+        a, b = left[low : low + (1 << 15)], right[low : low + (1 << 15)]
+        same = sketches[a] == sketches[b]
+        first = same.argmax(axis=1)
+        ok[low : low + len(a)] = ~same.any(axis=1) | (sketches[a, first] == group)
+    return ok
+
+
+_MEMBER = ("sketch", "length_class", "first_tile", "second_tile", "asks", "own", "node", "component", "n_words")
+
+
 def _units(table: pa.Table) -> Iterator[np.ndarray]:
-    """Row positions of each tile pair in a task's rows."""
-    columns = [table.column(c).to_numpy() for c in ("sketch", "length_class", "low", "high")]
+    """Row positions of each unit of work among a task's rows."""
+    columns = [table.column(c).to_numpy() for c in _MEMBER[:4]]
     order = np.lexsort(columns)
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -217,40 +282,30 @@ def _units(table: pa.Table) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(new)[1:])
 
 
-def _pairs(unit: np.ndarray, columns: dict[str, np.ndarray], bags: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each first member of a unit, the positions it must be compared with.
+def _pairs(unit: np.ndarray, columns: dict[str, np.ndarray], bags: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a unit that must be compared.
 
-    A unit compares its tile ``low`` with its tile ``high``; members of the
-    length class itself with each other, and with those of the class below.
-    Partners are in another component and near enough in length and bag.
+    One side asks, the other is asked.  The two are in different components,
+    near enough in length and bag, and not both of the shorter length class.
     """
-    tile, own, low, high, n, component = (columns[c][unit] for c in ("tile", "own", "low", "high", "n_words", "component"))
-    first = np.flatnonzero(own & (tile == low))
-    second = np.flatnonzero(tile == high)
-    mirrored = np.flatnonzero(own & (tile == high)) if low[0] != high[0] else first[:0]
-    below = np.flatnonzero(~own & (tile == low)) if low[0] != high[0] else first[:0]
-    bag = bags[unit].astype(np.int16)
-    for lefts, rights in ((first, second), (mirrored, below)):
-        for i in lefts.tolist():
-            j = rights
-            if low[0] == high[0]:
-                j = j[(j > i) | ~own[j]]
-            most = ((1 - least) * np.maximum(n[j], n[i]) + 1e-9).astype(np.int64)
-            j = j[(component[j] != component[i]) & (np.abs(n[j] - n[i]) <= most)]
-            if not len(j):
-                continue
-            most = ((1 - least) * np.maximum(n[j], n[i]) + 1e-9).astype(np.int64)
-            j = j[np.abs(bag[j] - bag[i]).sum(axis=1) <= 2 * most]
-            if len(j):
-                yield int(unit[i]), unit[j]
-
-
-_MEMBER = ("sketch", "length_class", "low", "high", "tile", "own", "node", "component", "n_words")
+    asks = columns["asks"][unit]
+    left, right = unit[asks], unit[~asks]
+    n, component, own, node = (columns[c] for c in ("n_words", "component", "own", "node"))
+    longer = np.maximum(n[left][:, None], n[right][None, :])
+    most = ((1 - least) * longer + 1e-9).astype(np.int64)
+    ok = (component[left][:, None] != component[right][None, :]) & (np.abs(n[left][:, None] - n[right][None, :]) <= most) & (own[left][:, None] | own[right][None, :])
+    i, j = np.nonzero(ok)
+    most, left, right = most[i, j], left[i], right[j]
+    near = np.zeros(len(i), bool)
+    for low in range(0, len(i), 1 << 15):
+        at = slice(low, low + (1 << 15))
+        near[at] = np.abs(bags[left[at]].astype(np.int16) - bags[right[at]]).sum(axis=1) <= 2 * most[at]
+    return left[near], right[near]
 
 
 def _columns(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
     bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
-    return {c: table.column(c).to_numpy() for c in _MEMBER}, bags
+    return {c: table.column(c).to_numpy(zero_copy_only=False) for c in _MEMBER}, bags
 
 
 def _flagged(least: float):
@@ -260,9 +315,8 @@ def _flagged(least: float):
         columns, bags = _columns(table)
         some = np.zeros(table.num_rows, bool)
         for unit in _units(table):
-            for i, j in _pairs(unit, columns, bags, least):
-                some[i] = True
-                some[j] = True
+            for side in _pairs(unit, columns, bags, least):
+                some[side] = True
         return table.filter(pa.array(some)).select(["part", *_MEMBER, "bag"])
 
     return run
@@ -273,8 +327,8 @@ def _crossing(least: float):
 
     def run(table: pa.Table) -> pa.Table:
         columns, bags = _columns(table)
-        texts = table.column("text")
-        words: dict[int, np.ndarray] = {}
+        texts, node, component = table.column("text"), columns["node"], columns["component"]
+        known: dict[int, _Text] = {}
         parent: dict[int, int] = {}
 
         def root(g: int) -> int:
@@ -283,25 +337,36 @@ def _crossing(least: float):
                 parent[g] = g = parent[parent[g]]
             return g
 
-        def hashes(i: int) -> np.ndarray:
-            node = int(columns["node"][i])
-            if node not in words:
-                words[node] = _hashes(texts[i].as_py())
-            return words[node]
+        def text(i: int) -> _Text:
+            key = int(node[i])
+            if key not in known:
+                known[key] = _Text(texts[i].as_py())
+            return known[key]
 
         found: set[tuple[int, int]] = set()
         compared: set[tuple[int, int]] = set()
+        n = columns["n_words"]
+        sketches = np.array([k[:SKETCHES] for k in table.column("keys").to_numpy()], np.int64).reshape(-1, SKETCHES)
         for unit in _units(table):
-            for i, partners in _pairs(unit, columns, bags, least):
-                x, g = int(columns["node"][i]), int(columns["component"][i])
-                for j in partners.tolist():
-                    y, h = int(columns["node"][j]), int(columns["component"][j])
-                    pair = (min(x, y), max(x, y))
-                    if root(g) == root(h) or pair in compared:
+            left, right = _pairs(unit, columns, bags, least)
+            new = _first_meeting(left, right, sketches, columns["sketch"][unit[0]])
+            left, right = left[new], right[new]
+            if not len(left):
+                continue
+            asked, place = np.unique(right, return_inverse=True)
+            index = _Index([text(j) for j in asked.tolist()])
+            askers, first = np.unique(left, return_index=True)  # pairs come asker by asker
+            for i, at in zip(askers.tolist(), np.split(place, first[1:]), strict=True):
+                shared = index.shared(text(i))[at]
+                enough = shared >= needed_pairs(n[i], n[asked[at]], least)
+                for j in asked[at[enough][np.argsort(-shared[enough], kind="stable")]].tolist():
+                    pair = (min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j])))
+                    g, h = root(int(component[i])), root(int(component[j]))
+                    if g == h or pair in compared:
                         continue
                     compared.add(pair)
-                    if similar(hashes(i), hashes(j), least):
-                        parent[max(root(g), root(h))] = min(root(g), root(h))
+                    if edit_distance_within(text(i).hashes, text(j).hashes, most_edits(int(n[i]), int(n[j]), least)) is not None:
+                        parent[max(g, h)] = min(g, h)
                         found.add(pair)
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
@@ -342,13 +407,19 @@ def _classes(keyed: DataFrame, row: str, least: float, id_col: str, text_col: st
             full = both(near, texts, ["text"]).select("a", "b", "text_a", "text_b")
             return durable(full.mapInArrow(_verify(least), "a long, b long"))
 
-    # First each member against two of its group: rows, not pairs of a group.
-    star = met.select(F.col("node").alias("a"), F.explode(F.array("hub", "far")).alias("b")).where("a <> b").distinct()
-    links = verified(star)
-    parts = connected_components(links)
-    more = _between_components(met, parts, traits, texts, least)
+    links = None
+    parts = None
+    for _ in range(ROUNDS):
+        tried = verified(_likeliest(met, parts))
+        if tried.isEmpty():
+            break
+        links = tried if links is None else durable(links.union(tried))
+        parts = connected_components(links)
+    if parts is None:
+        parts = classes.select("node", F.col("node").alias("component")).limit(0)
+    more = _between_components(met, parts, traits, classes.select("node", "keys"), texts, least)
     if not more.isEmpty():
-        parts = connected_components(links.union(more))
+        parts = connected_components(more if links is None else links.union(more))
     owned = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     winner = owned.groupBy("component").agg(F.min("first").alias("winner"))
     named = owned.join(winner, "component").select("print", "copies", "winner")
@@ -363,41 +434,64 @@ def _classes(keyed: DataFrame, row: str, least: float, id_col: str, text_col: st
     )
 
 
-def _between_components(met: DataFrame, parts: DataFrame, traits: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _likeliest(met: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """One pair ``(a, b)`` for each node: with the hub that it shares most keys with.
+
+    A group's hubs are its least and its greatest node; those in the node's own
+    component do not count.  Only rows and hubs meet, never the pairs of a group.
+    """
+    pairs = met.select(F.col("node").alias("a"), F.explode(F.array("hub", "far")).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+    if parts is not None:
+        for end in ("b", "a"):
+            pairs = pairs.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        pairs = pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    best = pairs.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("least"))).alias("best"))
+    return best.select("a", (-F.col("best.least")).alias("b"))
+
+
+def _between_components(met: DataFrame, parts: DataFrame, traits: DataFrame, keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links between members of a sketch group that are in two components so far.
 
-    Groups that hold one component are done.  In the others, a member goes to
-    its length class and, as the shorter side, to the next: similar texts differ
-    by a class at most.  Classes are cut into tiles of about ``TILE`` members and
-    each two tiles are a unit of work, many small units to a task, so that no
-    task grows with a group.  Members without a near enough bag drop out before
-    texts are fetched.
+    Groups that hold one component are done.  In the others a member goes to its
+    length class and, as the shorter side, to the next: similar texts differ by a
+    class at most.  Of two members in different components one at least is
+    outside the class's largest component: these members ask, all are asked.
+    Both sides are cut into tiles of about ``TILE`` members and each two tiles
+    are a unit of work, many small units to a task, so that no task grows with a
+    group.  Members without a near enough bag drop out before texts are fetched,
+    and a pair that shares several sketches is compared in the first.
     """
     named = met.select("sketch", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("sketch").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sketch")
     step = float(-np.log(least)) + 1e-9
     classed = named.join(mixed, "sketch").join(traits, "node").withColumn("length_class", F.floor(F.log("n_words") / step).cast("int"))
-    sides = classed.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("length_class", F.when(F.col("own"), F.col("length_class")).otherwise(F.col("length_class") + 1))
+    sides = durable(
+        classed.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+        .withColumn("length_class", F.when(F.col("own"), F.col("length_class")).otherwise(F.col("length_class") + 1))
+        .select("sketch", "length_class", "own", "node", "component", F.col("n_words").cast("long").alias("n_words"), "bag")
+    )
     key = ["sketch", "length_class"]
+    counts = sides.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
     sizes = (
-        sides.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("members"), F.max("own").alias("any"), F.min("component").alias("c_low"), F.max("component").alias("c_high"))
-        .where("any and c_low < c_high")
-        .select(*key, F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    )
-    placed = (
-        sides.join(sizes, key)
-        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+        counts.groupBy(*key)
+        .agg(F.sum("n").alias("members"), F.max("any").alias("any"), F.max(F.struct("n", "component")).alias("largest"))
+        .where("any and members > largest.n")
+        .select(*key, F.col("largest.component").alias("main"), tiles(F.col("members") - F.col("largest.n")).alias("askers"), tiles(F.col("members")).alias("asked"))
     )
-    placed = durable(placed.select("sketch", "length_class", "low", "high", "tile", "own", "node", "component", F.col("n_words").cast("long").alias("n_words"), "bag"))
-    n_parts = max(1, -(-placed.count() // TASK_ROWS)) * 4
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("sketch", "length_class", "low", "high"), F.lit(n_parts)).cast("long"))
-    member = "part long, sketch long, length_class int, low int, high int, tile int, own boolean, node long, component long, n_words long, bag binary"
+    placed = sides.join(sizes, key)
+    tile = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = placed.where("component <> main").withColumns({"asks": F.lit(True), "first_tile": tile(F.col("askers"))}).withColumn("second_tile", every(F.col("asked")))
+    asked = placed.withColumns({"asks": F.lit(False), "second_tile": tile(F.col("asked"))}).withColumn("first_tile", every(F.col("askers")))
+    columns = [*_MEMBER, "bag"]
+    units = durable(asking.select(columns).unionByName(asked.select(columns)))
+    n_parts = max(1, -(-units.count() // TASK_ROWS)) * 4
+    dealt = units.withColumn("part", F.pmod(F.xxhash64("sketch", "length_class", "first_tile", "second_tile"), F.lit(n_parts)).cast("long"))
+    member = "part long, sketch long, length_class int, first_tile int, second_tile int, asks boolean, own boolean, node long, component long, n_words long, bag binary"
     flagged = durable(dealt.groupBy("part").applyInArrow(_flagged(least), member))
-    with_text = flagged.join(texts, "node")
-    return durable(with_text.groupBy("part").applyInArrow(_crossing(least), "a long, b long").distinct())
+    whole = flagged.join(keys, "node").join(texts, "node")
+    return durable(whole.groupBy("part").applyInArrow(_crossing(least), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,9 +504,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     of each class, the first with that id.
 
     Every candidate pair that could join two classes is decided.  First each
-    node is compared with two fixed members of each of its groups, then what
-    still lies in different components is compared tile against tile (see
-    :func:`_between_components`); pairs inside one component are spared.
+    node is compared, a few times, with one likely partner (see
+    :func:`_likeliest`), then what still lies in different components is compared
+    tile against tile (see :func:`_between_components`); pairs inside one
+    component are spared.
 
     Null and wordless texts never link and are all kept.  A text of fewer than
     five words has no shingle and links to equal ones only.  Of rows that repeat
