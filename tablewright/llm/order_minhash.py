@@ -282,11 +282,12 @@ def _units(table: pa.Table) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(new)[1:])
 
 
-def _pairs(unit: np.ndarray, columns: dict[str, np.ndarray], bags: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(unit: np.ndarray, columns: dict[str, np.ndarray], bags: np.ndarray, sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs of a unit that must be compared.
 
     One side asks, the other is asked.  The two are in different components,
-    near enough in length and bag, and not both of the shorter length class.
+    near enough in length and bag, not both of the shorter length class, and
+    share no earlier sketch.
     """
     asks = columns["asks"][unit]
     left, right = unit[asks], unit[~asks]
@@ -300,24 +301,27 @@ def _pairs(unit: np.ndarray, columns: dict[str, np.ndarray], bags: np.ndarray, l
     for low in range(0, len(i), 1 << 15):
         at = slice(low, low + (1 << 15))
         near[at] = np.abs(bags[left[at]].astype(np.int16) - bags[right[at]]).sum(axis=1) <= 2 * most[at]
-    return left[near], right[near]
+    left, right = left[near], right[near]
+    new = _first_meeting(left, right, sketches, columns["sketch"][unit[0]])
+    return left[new], right[new]
 
 
-def _columns(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def _columns(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
-    return {c: table.column(c).to_numpy(zero_copy_only=False) for c in _MEMBER}, bags
+    sketches = table.column("sketches").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+    return {c: table.column(c).to_numpy(zero_copy_only=False) for c in _MEMBER}, bags, sketches
 
 
 def _flagged(least: float):
     """The members of a task's units that have a partner to be compared with."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns, bags = _columns(table)
+        columns, bags, sketches = _columns(table)
         some = np.zeros(table.num_rows, bool)
         for unit in _units(table):
-            for side in _pairs(unit, columns, bags, least):
+            for side in _pairs(unit, columns, bags, sketches, least):
                 some[side] = True
-        return table.filter(pa.array(some)).select(["part", *_MEMBER, "bag"])
+        return table.filter(pa.array(some)).select(["part", *_MEMBER, "bag", "sketches"])
 
     return run
 
@@ -326,7 +330,7 @@ def _crossing(least: float):
     """Links between components, verified here; one for each two that are joined."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns, bags = _columns(table)
+        columns, bags, sketches = _columns(table)
         texts, node, component = table.column("text"), columns["node"], columns["component"]
         known: dict[int, _Text] = {}
         parent: dict[int, int] = {}
@@ -346,11 +350,8 @@ def _crossing(least: float):
         found: set[tuple[int, int]] = set()
         compared: set[tuple[int, int]] = set()
         n = columns["n_words"]
-        sketches = np.array([k[:SKETCHES] for k in table.column("keys").to_numpy()], np.int64).reshape(-1, SKETCHES)
         for unit in _units(table):
-            left, right = _pairs(unit, columns, bags, least)
-            new = _first_meeting(left, right, sketches, columns["sketch"][unit[0]])
-            left, right = left[new], right[new]
+            left, right = _pairs(unit, columns, bags, sketches, least)
             if not len(left):
                 continue
             asked, place = np.unique(right, return_inverse=True)
@@ -391,7 +392,7 @@ def _classes(keyed: DataFrame, row: str, least: float, id_col: str, text_col: st
     each = classes.select("node", F.explode("keys").alias("sketch"))
     groups = each.groupBy("sketch").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub"), F.max("node").alias("far")).where("members > 1")
     met = durable(each.join(groups, "sketch"))
-    traits = classes.select("node", "n_words", "bag")
+    traits = classes.where("bag is not null").select("node", "n_words", "bag", F.slice("keys", 1, SKETCHES).alias("sketches"))
     texts = slim.withColumnRenamed("row", "node")
 
     def both(pairs: DataFrame, frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -417,7 +418,7 @@ def _classes(keyed: DataFrame, row: str, least: float, id_col: str, text_col: st
         parts = connected_components(links)
     if parts is None:
         parts = classes.select("node", F.col("node").alias("component")).limit(0)
-    more = _between_components(met, parts, traits, classes.select("node", "keys"), texts, least)
+    more = _between_components(met, parts, traits, texts, least)
     if not more.isEmpty():
         parts = connected_components(more if links is None else links.union(more))
     owned = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -449,7 +450,7 @@ def _likeliest(met: DataFrame, parts: DataFrame | None) -> DataFrame:
     return best.select("a", (-F.col("best.least")).alias("b"))
 
 
-def _between_components(met: DataFrame, parts: DataFrame, traits: DataFrame, keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _between_components(met: DataFrame, parts: DataFrame, traits: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links between members of a sketch group that are in two components so far.
 
     Groups that hold one component are done.  In the others a member goes to its
@@ -468,7 +469,7 @@ def _between_components(met: DataFrame, parts: DataFrame, traits: DataFrame, key
     sides = durable(
         classed.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
         .withColumn("length_class", F.when(F.col("own"), F.col("length_class")).otherwise(F.col("length_class") + 1))
-        .select("sketch", "length_class", "own", "node", "component", F.col("n_words").cast("long").alias("n_words"), "bag")
+        .select("sketch", "length_class", "own", "node", "component", F.col("n_words").cast("long").alias("n_words"), "bag", "sketches")
     )
     key = ["sketch", "length_class"]
     counts = sides.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any"))
@@ -484,13 +485,14 @@ def _between_components(met: DataFrame, parts: DataFrame, traits: DataFrame, key
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asking = placed.where("component <> main").withColumns({"asks": F.lit(True), "first_tile": tile(F.col("askers"))}).withColumn("second_tile", every(F.col("asked")))
     asked = placed.withColumns({"asks": F.lit(False), "second_tile": tile(F.col("asked"))}).withColumn("first_tile", every(F.col("askers")))
-    columns = [*_MEMBER, "bag"]
+    columns = [*_MEMBER, "bag", "sketches"]
     units = durable(asking.select(columns).unionByName(asked.select(columns)))
     n_parts = max(1, -(-units.count() // TASK_ROWS)) * 4
     dealt = units.withColumn("part", F.pmod(F.xxhash64("sketch", "length_class", "first_tile", "second_tile"), F.lit(n_parts)).cast("long"))
-    member = "part long, sketch long, length_class int, first_tile int, second_tile int, asks boolean, own boolean, node long, component long, n_words long, bag binary"
-    flagged = durable(dealt.groupBy("part").applyInArrow(_flagged(least), member))
-    whole = flagged.join(keys, "node").join(texts, "node")
+    member = "part long, sketch long, length_class int, first_tile int, second_tile int, asks boolean, own boolean, node long, component long, n_words long, bag binary, sketches array<long>"
+    # Counts given by hand: small rows, but much work in each part.
+    flagged = durable(dealt.repartition(n_parts, "part").groupBy("part").applyInArrow(_flagged(least), member))
+    whole = flagged.join(texts, "node").repartition(n_parts, "part")
     return durable(whole.groupBy("part").applyInArrow(_crossing(least), "a long, b long").distinct())
 
 
