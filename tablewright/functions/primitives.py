@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.types import DATES, canonical, fresh_names, no_nan, quoted
+from tablewright.stats import Quantiles, exact_quantiles
+from tablewright.types import DATES, fresh_names, no_nan, quoted
 
 #: Strings that Spark's casts accept as numbers but strict parsing should not.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -33,10 +34,34 @@ def concat_columns(frames: list[DataFrame], on: str) -> DataFrame:
     return out
 
 
-def to_float32(column: Column, strict_pattern: bool = True) -> Column:
-    """A float, null where the value is not a number."""
+def to_float32(column: Column, strict: bool = False) -> Column:
+    """A float, null where the text is not a number; with ``strict`` that is an error."""
     text = column.cast("string")
-    return F.when(text.rlike(NUMBER), F.expr("1") * text.try_cast("float")).cast("float") if strict_pattern else column.try_cast("float")
+    value = F.when(text.rlike(NUMBER), text.try_cast("float"))
+    if strict:
+        value = F.when(text.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit("not a number: "), text)).cast("float")).otherwise(value)
+    return value.cast("float")
+
+
+def fill_nulls(df: DataFrame, column: str, value) -> DataFrame:
+    """``df`` with nulls and NaN of a column replaced."""
+    field = df.schema[column]
+    return df.withColumn(column, F.coalesce(no_nan(field), F.lit(value).cast(field.dataType)))
+
+
+def drop_nulls(df: DataFrame, column: str) -> DataFrame:
+    """The rows in which a column is neither null nor NaN."""
+    return df.where(no_nan(df.schema[column]).isNotNull())
+
+
+def head(df: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """The first ``n`` rows in the order of ``by``."""
+    return df.orderBy(*[quoted(b) for b in by]).limit(n)
+
+
+def tail(df: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """The last ``n`` rows in the order of ``by``."""
+    return df.orderBy(*[F.desc(quoted(b)) for b in by]).limit(n)
 
 
 def total_seconds(field: T.StructField) -> Column:
@@ -58,19 +83,14 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 
 def quantiles_nearest(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
-    """``(column, q, value)``: exact quantiles, the nearest row in rank.
+    """``(column, q, value)``: exact quantiles, the value of the nearest rank.
 
-    One sort per column; ranks come from a count of each distinct value, so a
-    frequent value is one row.
+    See :func:`tablewright.stats.exact_quantiles`: no task sees a whole column.
     """
-    frame = canonical(df.select(*[quoted(c).cast("double").alias(c) for c in columns]))
-    stacked = ", ".join(f"'{c}', `{c}`" for c in columns)
-    counts = frame.selectExpr(f"stack({len(columns)}, {stacked}) as (column, value)").where("value is not null").groupBy("column", "value").count()
-    upto = Window.partitionBy("column").orderBy("value")
-    ranked = counts.withColumn("last", F.sum("count").over(upto)).withColumn("n", F.sum("count").over(Window.partitionBy("column")))
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in probabilities]))
-    at = ranked.withColumn("q", wanted).withColumn("rank", F.rint(F.col("q") * (F.col("n") - 1)) + 1)
-    return at.where("rank <= last and rank > last - count").select("column", "q", "value")
+    asked = {c: Quantiles(no_nan(df.schema[c]), tuple(float(q) for q in probabilities), nearest=True) for c in columns}
+    found = exact_quantiles(df, asked)
+    rows = [(c, q, v) for c in columns if found[c] is not None for q, v in zip(asked[c].probabilities, found[c], strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column string, q double, value double")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -86,9 +106,21 @@ def pearson(df: DataFrame, left: str, right: str) -> Column:
 
 
 def is_sorted(df: DataFrame, column: str, by: list[str], descending: bool = False) -> bool:
-    """Whether non-null values never fall (rise) in the order of ``by``."""
+    """Whether non-null values never fall (rise) in the order of ``by``.
+
+    Rows are dealt by range of ``by``; each part reports whether it is sorted,
+    and its first and last value, and only these few meet.
+    """
     c = F.col("value")
-    frame = df.select(no_nan(df.schema[column]).alias("value"), *[quoted(b) for b in by]).where("value is not null")
-    before = F.lag("value").over(Window.orderBy(*[quoted(b) for b in by]))
-    wrong = frame.withColumn("before", before).where(c > F.col("before") if descending else c < F.col("before"))
-    return wrong.isEmpty()
+    frame = df.select(no_nan(df.schema[column]).alias("value"), *[quoted(b).alias(f"b{j}") for j, b in enumerate(by)]).where("value is not null")
+    keys = [f"b{j}" for j in range(len(by))]
+    dealt = frame.repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part").orderBy(*keys)
+    before = dealt.withColumn("before", F.lag("value").over(inside))
+    place = F.struct(*keys)
+    parts = before.groupBy("part").agg(
+        F.max(F.when(c > F.col("before") if descending else c < F.col("before"), 1)).alias("wrong"), F.min_by("value", place).alias("first"), F.max_by("value", place).alias("last")
+    )
+    rows = parts.orderBy("part").collect()  # a row a part
+    steps = zip(rows, rows[1:], strict=False)
+    return not any(r["wrong"] for r in rows) and all((b["first"] <= a["last"]) if descending else (b["first"] >= a["last"]) for a, b in steps)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.primitives import pearson, total_seconds
-from tablewright.stats import profile
+from tablewright.stats import distinct_counts, profile
 from tablewright.types import classify, is_numeric, no_nan, quoted
 
 N_BINS = 10
@@ -28,16 +31,20 @@ def _levels(df: DataFrame) -> DataFrame:
     finite = {c: F.when(F.abs(x) < float("inf"), x).otherwise(F.lit(0.0)) for c, x in numbers.items()}
     asked: dict[str, Column] = {}
     for c, x in numbers.items():
-        asked |= {f"{c}\0distinct": F.count_distinct(x), f"{c}\0min": F.min(finite[c]), f"{c}\0max": F.max(finite[c])}
+        asked |= {f"{c}\0min": F.min(finite[c]), f"{c}\0max": F.max(finite[c])}
     stats = profile(df, asked)
-    binned = {c for c in numbers if stats[f"{c}\0distinct"] >= CATEGORIES}
+    distinct = distinct_counts(df, numbers)
+    binned = {c for c in numbers if distinct[c] >= CATEGORIES}
     texts = [f for f in fields if f.name not in binned]
     top: dict[str, list] = {}
     if texts:
         pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _as_text(f).alias("value"), numbers.get(f.name, F.lit(None)).cast("double").alias("number")) for j, f in enumerate(texts)]))
         counts = df.select(pairs.alias("p")).select("p.*").groupBy("j", "value", "number").agg(F.count(F.lit(1)).alias("n"))
-        by = Window.partitionBy("j").orderBy(F.desc("n"), F.desc("number"), F.desc("value"))  # of equals, the larger
-        for r in counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= N_BINS + 1).collect():
+        order = (F.desc("n"), F.desc("number"), F.desc("value"))  # of equals, the larger
+        # The leaders of 64 parts of a column's values first, then those of the column.
+        part = counts.withColumn("part", F.pmod(F.xxhash64("value", "number"), F.lit(64)))
+        leaders = part.withColumn("rank", F.row_number().over(Window.partitionBy("j", "part").orderBy(*order))).where(F.col("rank") <= N_BINS + 1)
+        for r in leaders.withColumn("rank", F.row_number().over(Window.partitionBy("j").orderBy(*order))).where(F.col("rank") <= N_BINS + 1).collect():
             top.setdefault(texts[r["j"]].name, []).append((r["rank"], r["value"]))
     out = []
     for f in fields:
@@ -68,12 +75,28 @@ def _as_text(field) -> Column:
 def contingency(df: DataFrame) -> DataFrame:
     """``(i, j, a, b, n)`` over all pairs of columns i < j of small levels.
 
-    Rows are first counted by their whole pattern of levels, so the pairs are
-    expanded once per pattern and partly summed before the shuffle.
+    A row's levels as a 0/1 vector, the products of these vectors summed by
+    matrix multiplication: each task reports one table of counts, whatever its
+    rows, and the tables are added by cell.
     """
     names = df.columns
-    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(names[i]).alias("a"), F.col(names[j]).alias("b")) for i in range(len(names)) for j in range(i + 1, len(names))]
-    return df.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.i", "p.j", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    width = N_BINS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names) * width, len(names) * width), np.int64)
+        shift = np.arange(len(names)) * width
+        for batch in batches:
+            levels = np.stack([batch.column(j).to_numpy(zero_copy_only=False) for j in range(len(names))], axis=1)
+            for low in range(0, len(levels), 4096):
+                some = levels[low : low + 4096] + shift
+                one = np.zeros((len(some), len(total)), np.float32)
+                np.put_along_axis(one, some, 1.0, axis=1)
+                total += np.rint(one.T @ one).astype(np.int64)
+        x, y = np.nonzero(total)
+        x, y = x[x // width < y // width], y[x // width < y // width]
+        yield pa.RecordBatch.from_pydict({"i": (x // width).astype(np.int32), "j": (y // width).astype(np.int32), "a": (x % width).astype(np.int32), "b": (y % width).astype(np.int32), "n": total[x, y]})
+
+    return df.mapInArrow(run, "i int, j int, a int, b int, n long").groupBy("i", "j", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def column_associations(df: DataFrame, compute_pearson: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.primitives import NUMBER, total_seconds
-from tablewright.stats import profile
+from tablewright.stats import Quantiles, distinct_values, profile
 from tablewright.types import classify, is_numeric, missing, no_nan, quoted
 
 #: Strings read as missing besides blank ones.
@@ -40,6 +40,17 @@ class ColumnTransformer:
         """A copy that holds what the statistics tell; may raise :class:`Reject`."""
         return self
 
+    def narrowed(self, sample: DataFrame, names: list[str]) -> dict[str, ColumnTransformer]:
+        """The operator to fit on each column, after a look at a few rows.
+
+        The sample may only rule out what would fail on all rows, too.
+        """
+        return dict.fromkeys(names, self)
+
+    def shared(self, field: T.StructField) -> list[dict[str, Column]]:
+        """Columns that several of ``exprs`` use, computed once before them, layer by layer."""
+        return []
+
     def exprs(self, field: T.StructField) -> list[Column]:
         raise NotImplementedError
 
@@ -49,7 +60,20 @@ class ColumnTransformer:
         return self.fitted(df, field, profile(df, self.requests(df, field)))
 
     def fit_transform(self, df: DataFrame, column: str) -> DataFrame:
-        return df.select(*self.fit(df, column).exprs(df.schema[column]))
+        model = self.fit(df, column)
+        return with_shared(df, {column: model}).select(*model.exprs(df.schema[column]))
+
+
+def with_shared(df: DataFrame, models: dict[str, ColumnTransformer]) -> DataFrame:
+    """``df`` with the shared columns of the models of its columns."""
+    layers: list[dict[str, Column]] = []
+    for name, model in models.items():
+        for j, layer in enumerate(model.shared(df.schema[name])):
+            layers += [{}] * (j + 1 - len(layers))
+            layers[j] = layers[j] | layer
+    for layer in layers:
+        df = df.withColumns(layer)
+    return df
 
 
 def _copy(transformer, **values):
@@ -123,6 +147,10 @@ DATE_FORMATS = (
 )
 
 
+#: Rows that are looked at to rule formats out.
+SAMPLE_ROWS = 200
+
+
 def _parsed(column: Column, fmt: str) -> Column:
     return F.try_to_timestamp(column, F.lit(fmt))
 
@@ -134,18 +162,24 @@ class ToDatetime(ColumnTransformer):
     """
 
     def __init__(self, format: str | None = None):
-        self.format = format
+        self.format, self.formats = format, [format] if format else list(DATE_FORMATS)
 
     def check(self, field):
         if classify(field) not in ("string", "date"):
             raise Reject(f"{field.name} holds no dates")
 
+    def narrowed(self, sample, names):
+        """A format that fails on some of a few values cannot read all: it is not tried on the rest."""
+        names = [c for c in names if classify(sample.schema[c]) == "string"]
+        asked = {(c, k): e for c in names for k, e in self.requests(sample, sample.schema[c]).items()}
+        seen = profile(sample, asked)
+        return {c: _copy(self, formats=[f for (d, f), n in seen.items() if d == c and f != "known" and n == seen[c, "known"]]) for c in names}
+
     def requests(self, df, field):
         if classify(field) == "date":
             return {}
         c = quoted(field.name)
-        formats = (self.format,) if self.format else DATE_FORMATS
-        return {"known": F.count(c)} | {f: F.count(_parsed(c, f)) for f in formats}
+        return {"known": F.count(c)} | {f: F.count(_parsed(c, f)) for f in self.formats}
 
     def fitted(self, df, field, stats):
         if classify(field) == "date":
@@ -164,12 +198,13 @@ class ToDatetime(ColumnTransformer):
 def to_datetime(df: DataFrame, format: str | None = None) -> DataFrame:
     """Parse all columns that hold dates; others stay."""
     out, fields = [], list(df.schema)
-    asked = {f.name: ToDatetime(format).requests(df, f) for f in fields if classify(f) == "string"}
+    steps = ToDatetime(format).narrowed(df.limit(SAMPLE_ROWS), [f.name for f in fields])
+    asked = {f.name: steps[f.name].requests(df, f) for f in fields if f.name in steps}
     stats = profile(df, {f"{c}\0{k}": e for c, r in asked.items() for k, e in r.items()})
     for f in fields:
         try:
             own = {k: stats[f"{f.name}\0{k}"] for k in asked.get(f.name, {})}
-            step = ToDatetime(format)
+            step = steps.get(f.name, ToDatetime(format))
             step.check(f)
             out += step.fitted(df, f, own).exprs(f)
         except Reject:
@@ -177,6 +212,31 @@ def to_datetime(df: DataFrame, format: str | None = None) -> DataFrame:
     return df.select(*out)
 
 
+def time_zone_of(df: DataFrame, column: str) -> str | None:
+    """The zone in which a column's times are shown: the session's, or None for local times."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
+        return None
+    raise Reject(f"{column} holds no times")
+
+
+def convert_time_zone(df: DataFrame, column: str, to: str | None, source: str = "UTC") -> DataFrame:
+    """Local times of zone ``source``, or instants, as local times of zone ``to``.
+
+    With ``to`` None, local times of ``source`` become instants.
+    """
+    c = quoted(column)
+    if time_zone_of(df, column) is not None:
+        local = F.convert_timezone(F.lit(time_zone_of(df, column)), F.lit(to), c.cast("timestamp_ntz")) if to else c
+    elif to:
+        local = F.convert_timezone(F.lit(source), F.lit(to), c.cast("timestamp_ntz"))
+    else:
+        local = F.to_utc_timestamp(F.convert_timezone(F.lit(source), F.lit(df.sparkSession.conf.get("spark.sql.session.timeZone")), c.cast("timestamp_ntz")).cast("timestamp"), "UTC")
+    return df.withColumn(column, local)
+
+
 class ToFloat(ColumnTransformer):
     """Numbers written as text become floats; one bad value at fit rejects the column."""
 
@@ -249,6 +309,7 @@ class DurationToFloat(ColumnTransformer):
 
 
 LEVELS = ("year", "month", "day", "hour", "minute", "second", "microsecond", "nanosecond")
+#: Periods of the parts of a time, and splines over each.
 PERIODS = {"month": 12, "day": 30, "hour": 24, "weekday": 7}
 SPLINES = {"month": 12, "day": 4, "hour": 12, "weekday": 7}
 
@@ -371,7 +432,7 @@ class SquashingScaler(ColumnTransformer):
         c = no_nan(field).cast("double")
         finite = F.when(F.abs(c) < float("inf"), c)
         low, high = (q / 100 for q in self.quantiles)
-        return {"q": F.percentile(finite, F.array(F.lit(low), F.lit(0.5), F.lit(high))), "min": F.min(finite), "max": F.max(finite)}
+        return {"q": Quantiles(finite, (low, 0.5, high)), "min": F.min(finite), "max": F.max(finite)}
 
     def fitted(self, df, field, stats):
         if stats["min"] is None or stats["min"] == stats["max"]:
@@ -388,20 +449,25 @@ class SquashingScaler(ColumnTransformer):
         return [F.when(F.abs(c) == float("inf"), F.signum(c) * self.bound).otherwise(finite).alias(field.name)]
 
 
+#: Categories that become columns or ranks; a column with more is no category.
+MOST_CATEGORIES = 10_000
+
+
 class OneHot(ColumnTransformer):
     """``{column}_{category}`` per category in order; null is a category.
 
-    A binary column gives one output.  Unknown categories give zeros.
+    A binary column gives one output.  Unknown categories give zeros.  More than
+    ``MOST_CATEGORIES`` are refused at fit.
     """
 
     def __init__(self, drop_binary: bool = True):
         self.drop_binary, self.categories = drop_binary, []
 
     def requests(self, df, field):
-        return {"values": F.collect_set(quoted(field.name).cast("string")), "nulls": F.count(F.when(missing(field), 1))}
+        return {"nulls": F.count(F.when(missing(field), 1))}
 
     def fitted(self, df, field, stats):
-        found = sorted(stats["values"]) + ([None] if stats["nulls"] else [])
+        found = distinct_values(df, no_nan(field).cast("string"), MOST_CATEGORIES) + ([None] if stats["nulls"] else [])
         return _copy(self, categories=found[1:] if self.drop_binary and len(found) == 2 else found)
 
     def exprs(self, field):
@@ -415,11 +481,8 @@ class Ordinal(ColumnTransformer):
     def __init__(self):
         self.categories = []
 
-    def requests(self, df, field):
-        return {"values": F.collect_set(quoted(field.name).cast("string"))}
-
     def fitted(self, df, field, stats):
-        return _copy(self, categories=sorted(stats["values"]))
+        return _copy(self, categories=distinct_values(df, no_nan(field).cast("string"), MOST_CATEGORIES))
 
     def exprs(self, field):
         c = quoted(field.name).cast("string")

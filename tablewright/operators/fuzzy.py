@@ -2,42 +2,162 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.primitives import total_seconds
-from tablewright.functions.strings import char_wb_ngrams
+from tablewright.functions.strings import grams_of
 from tablewright.operators.relational import check_keys
 from tablewright.stats import profile
+from tablewright.storage import durable
 from tablewright.types import classify, fresh_names, is_numeric, no_nan, quoted
 
-REFERENCES = ("random_pairs", "second_neighbor", "self_join_neighbor", "no_rescaling")
-#: Largest auxiliary table, in rows, whose key vectors may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Auxiliary rows up to which an index of all of them goes to every task.
+BROADCAST_ROWS = 20_000
+#: Main rows of a unit of work against a block of ``BROADCAST_ROWS`` auxiliary rows.
+MAIN_ROWS = 50_000
+#: Auxiliary rows above which a gram is too common to be joined on first.
+COMMON = 2_000
+
+
+@dataclass(frozen=True)
+class RandomPairs:
+    """Reference: a percentile of the distances of random pairs of auxiliary rows."""
+
+    percentile: float = 25.0
+    n_sampled_pairs: int = 500
+    seed: int = 0
+
+
+@dataclass(frozen=True)
+class SelfJoinNeighbor:
+    """Reference: the matched row's distance to its own n-th neighbour in the auxiliary table."""
+
+    reference_neighbor: int = 1
+
+
+@dataclass(frozen=True)
+class OtherNeighbor:
+    """Reference: the main row's distance to the n-th auxiliary row after its match."""
+
+    reference_neighbor: int = 1
+
+
+@dataclass(frozen=True)
+class NoRescaling:
+    """Distances count as they are; numbers keep their scale, too."""
+
+
+REFERENCES = {"random_pairs": RandomPairs(), "second_neighbor": OtherNeighbor(), "self_join_neighbor": SelfJoinNeighbor(), "no_rescaling": NoRescaling()}
+
+
+@dataclass(frozen=True)
+class StringVectors:
+    """How string keys become vectors: TF-IDF of the n-grams of an analyzer."""
+
+    ngram_range: tuple[int, int] = (2, 4)
+    analyzer: str = "char_wb"
+
+
+class _Index:
+    """Vectors of some auxiliary rows: numbers, and postings of weighted grams.
+
+    The squared distance of two rows is that of their numbers, plus the string
+    keys that are not empty on either side, minus twice the grams' product.
+    """
+
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, grams: list[np.ndarray], weights: list[np.ndarray], filled: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.numbers, self.filled = ids[order], numbers[order], filled[order]
+        self.vectors = [(grams[i], weights[i]) for i in order.tolist()]
+        sizes = [len(g) for g, _ in self.vectors]
+        flat = np.concatenate([g for g, _ in self.vectors]) if sum(sizes) else np.zeros(0, np.int64)
+        by = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)[by]
+        self.weight = (np.concatenate([w for _, w in self.vectors]) if sum(sizes) else np.zeros(0))[by]
+        self.grams, self.first = np.unique(flat[by], return_index=True)
+        self.last = np.append(self.first[1:], len(flat))
+
+    def distances(self, numbers: np.ndarray, grams: np.ndarray, weights: np.ndarray, filled: float) -> np.ndarray:
+        d2 = ((self.numbers - numbers) ** 2).sum(axis=1) + self.filled + filled
+        if len(grams) and len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+            for i in np.flatnonzero(self.grams[at] == grams).tolist():
+                low, high = self.first[at[i]], self.last[at[i]]
+                d2[self.owner[low:high]] -= 2 * weights[i] * self.weight[low:high]
+        return np.sqrt(np.maximum(np.round(d2, 9), 0.0))  # sums in another order still tie
+
+    def nearest(self, k: int, *vector) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and distances of the ``k`` nearest rows, ties by id."""
+        d = self.distances(*vector)
+        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k < len(d) else np.arange(len(d))
+        best = some[np.lexsort((some, d[some]))[:k]]
+        return best, d[best]
+
+    def vector(self, at: int) -> tuple:
+        return (self.numbers[at], *self.vectors[at], self.filled[at])
+
+
+class _Weights:
+    """TF-IDF weights, of norm 1 within each key, of hashed grams that the auxiliary table knows."""
+
+    def __init__(self, keys: np.ndarray, idf: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.idf = keys[order], idf[order]
+
+    def of(self, lists) -> tuple[np.ndarray, np.ndarray, float]:
+        """Grams and weights of one row's lists of hashes, a list a string key; keys not empty."""
+        grams, weights, filled = [], [], 0.0
+        for x in lists:
+            g, tf = np.unique(np.asarray(x if x is not None else (), np.int64), return_counts=True)
+            if not len(g) or not len(self.keys):
+                continue
+            at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+            known = self.keys[at] == g
+            if known.any():
+                w = tf[known] * self.idf[at[known]]
+                grams.append(g[known])
+                weights.append(w / np.sqrt((w * w).sum()))
+                filled += 1.0
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(grams) if grams else none), (np.concatenate(weights) if weights else none.astype(float)), filled
 
 
 class Joiner:
     """Left join of each row to its nearest auxiliary row.
 
-    Keys become one Euclidean space: strings as L2-normed TF-IDF of word-bound
-    2 to 4-grams, numbers and times scaled by the auxiliary table's mean and
-    population deviation.  For string keys an inverted index of grams finds the
-    rows with common grams and their dot products; a row without any common gram
-    is as far from all non-empty rows, so the first takes it.  Numeric keys alone
-    are compared with the whole auxiliary table, which may hold at most
-    ``BROADCAST_ROWS`` rows (see :meth:`_numeric`); larger ones are refused.
-    A match counts when its distance over a reference distance is at most
+    Keys become one Euclidean space: strings as L2-normed TF-IDF of n-grams
+    (``string_encoder``), numbers and times scaled by the auxiliary table's mean
+    and population deviation.  Grams that the auxiliary table does not hold
+    count for nothing; a missing number counts as the mean.
+
+    Up to ``BROADCAST_ROWS`` auxiliary rows are one index that every task holds:
+    a transform is a projection and a join of the matched rows.  Beyond, string
+    keys meet through a join on their grams, rare ones first (see
+    :meth:`_joined`), and other keys compare blocks of main rows with blocks of
+    auxiliary rows; both are exact, at any size.
+
+    A match counts when its distance over a reference distance (``ref_dist``, a
+    name in ``REFERENCES`` or one of the reference classes) is at most
     ``max_dist``; else the auxiliary columns are null.  Ties go to the lowest
     auxiliary row in key order.
     """
 
-    def __init__(self, aux_table: DataFrame, *, key=None, main_key=None, aux_key=None, suffix: str = "", max_dist: float = float("inf"), ref_dist: str = "random_pairs", add_match_info: bool = True):
-        if ref_dist not in REFERENCES:
-            raise ValueError(f"ref_dist must be one of {REFERENCES}")
-        if max_dist is None:
-            max_dist = float("inf")
-        self.aux, self.suffix, self.max_dist, self.ref_dist, self.info = aux_table, suffix, max_dist, ref_dist, add_match_info
+    def __init__(
+        self, aux_table: DataFrame, *, key=None, main_key=None, aux_key=None, suffix: str = "", max_dist: float | None = float("inf"), ref_dist="random_pairs",
+        string_encoder: StringVectors | None = None, add_match_info: bool = True,
+    ):
+        if isinstance(ref_dist, str) and ref_dist not in REFERENCES or not isinstance(ref_dist, (str, *map(type, REFERENCES.values()))):
+            raise ValueError(f"ref_dist must be one of {tuple(REFERENCES)} or a reference object")
+        self.reference = REFERENCES[ref_dist] if isinstance(ref_dist, str) else ref_dist
+        if getattr(self.reference, "reference_neighbor", 1) < 1 or getattr(self.reference, "n_sampled_pairs", 1) < 1:
+            raise ValueError("numbers of neighbours and pairs must be positive")
+        self.max_dist = float("inf") if max_dist is None else max_dist
+        self.aux, self.suffix, self.info, self.strings = aux_table, suffix, add_match_info, string_encoder or StringVectors()
         self.keys = (key, main_key, aux_key)
 
     # --- key space ---
@@ -46,187 +166,245 @@ class Joiner:
         self.main_keys_, self.aux_keys_ = check_keys(X, self.aux, *self.keys)
         fields = [self.aux.schema[c] for c in self.aux_keys_]
         self.kinds_ = ["number" if is_numeric(f) else "time" if classify(f) == "date" else "string" for f in fields]
-        self.aux_ = self._numbered()
+        ordered = self.aux.orderBy(*[quoted(c) for c in self.aux_keys_], *[quoted(f.name) for f in self.aux.schema if classify(f) != "nested" and f.name not in self.aux_keys_])
+        self.aux_ = durable(ordered.withColumn("__aux", F.monotonically_increasing_id()))  # in key order
         numbers = [(c, k) for c, k in zip(self.aux_keys_, self.kinds_, strict=True) if k != "string"]
-        stats = profile(self.aux_, {c: F.struct(F.avg(self._number(self.aux_, c, k)), F.stddev_pop(self._number(self.aux_, c, k))) for c, k in numbers})
-        self.scales_ = {c: ((v[0] or 0.0), (v[1] or 1.0)) if self.ref_dist != "no_rescaling" else (0.0, 1.0) for c, v in stats.items()}
-        self.vectors_ = self._vectors(self.aux_, self.aux_keys_, "__aux").persist()
-        strings = [j for j, k in enumerate(self.kinds_) if k == "string"]
-        if strings:
-            grams = self.vectors_.select("__aux", F.explode("grams").alias("gram"))
-            self.n_ = self.vectors_.count()
-            self.df_ = grams.distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-            self.weights_ = self._weighted(self.vectors_, "__aux").persist()
-        self.reference_ = self._reference()
+        asked = {c: F.struct(F.avg(self._number(self.aux_, c, k)), F.stddev_pop(self._number(self.aux_, c, k))) for c, k in numbers}
+        stats = profile(self.aux_, asked | {None: F.count(F.lit(1))})
+        self.n_ = stats.pop(None)
+        rescaled = not isinstance(self.reference, NoRescaling)
+        self.scales_ = {c: ((v[0] or 0.0), (v[1] or 1.0)) if rescaled else (0.0, 1.0) for c, v in stats.items()}
+        self.small_ = self.n_ <= BROADCAST_ROWS
+        vectors = self._vectors(self.aux_, self.aux_keys_, "__aux")
+        if self.small_:
+            rows = vectors.orderBy("__aux").collect()  # at most BROADCAST_ROWS
+            lists = [[x for x in r["grams"]] for r in rows]
+            held, df = np.unique(np.concatenate([np.unique(np.asarray(x, np.int64)) for r in lists for x in r] or [np.zeros(0, np.int64)]), return_counts=True)
+            self.weights_ = _Weights(held, np.log((1.0 + self.n_) / (1.0 + df)) + 1.0)
+            self.index_ = self._indexed([r["__aux"] for r in rows], [r["numbers"] for r in rows], [self.weights_.of(x) for x in lists])
+        else:
+            grams = vectors.select("__aux", F.explode(F.flatten("grams")).alias("gram")).distinct()
+            self.df_ = durable(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+            self.vectors_ = durable(self._weighted(vectors, "__aux"))
+        self.reference_ = self._random_reference() if isinstance(self.reference, RandomPairs) else None
         return self
 
-    def _numbered(self) -> DataFrame:
-        """Auxiliary rows with a stable number: their rank in key order, by range."""
-        from tablewright.operators.relational import ranked_prefix
-
-        keyed = self.aux.withColumn("__row", F.monotonically_increasing_id())
-        order = keyed.select(*[quoted(c).alias(f"__k{j}") for j, c in enumerate(self.aux_keys_)], "__row").withColumn("__one", F.lit(1))
-        ranks = ranked_prefix(order, [*[f"__k{j}" for j in range(len(self.aux_keys_))], "__row"], "__one", "__aux", 32)
-        return keyed.join(ranks.select("__row", "__aux"), "__row").drop("__row").persist()
+    def _indexed(self, ids, numbers, weighted) -> _Index:
+        width = sum(k != "string" for k in self.kinds_)
+        matrix = np.array(numbers, float).reshape(len(ids), width)
+        return _Index(np.array(ids, np.int64), matrix, [g for g, _, _ in weighted], [w for _, w, _ in weighted], np.array([f for _, _, f in weighted], float))
 
     @staticmethod
     def _number(df: DataFrame, column: str, kind: str) -> Column:
         field = df.schema[column]
         return total_seconds(field) if kind == "time" else no_nan(field).cast("double")
 
-    def _vectors(self, df: DataFrame, keys: list[str], row: str) -> DataFrame:
-        """``(row, grams, p0, p1...)``: grams are tagged by their key's position."""
+    def _key_vectors(self, df: DataFrame, keys: list[str]) -> tuple[Column, Column]:
+        """Hashed grams, a list for each string key (the key's place hashed along), and scaled numbers."""
         grams, parts = [], []
         for j, (c, aux, kind) in enumerate(zip(keys, self.aux_keys_, self.kinds_, strict=True)):
             if kind == "string":
-                grams.append(F.transform(char_wb_ngrams(quoted(c).cast("string"), 2, 4), _tagged(j)))
+                grams.append(F.transform(grams_of(quoted(c).cast("string"), self.strings.analyzer, *self.strings.ngram_range), _tagged(j)))
             else:
                 mean, scale = self.scales_[aux]
-                parts.append(F.coalesce((self._number(df, c, kind) - mean) / scale, F.lit(0.0)).alias(f"p{len(parts)}"))
-        return df.select(row, (F.concat(*grams) if grams else F.array().cast("array<string>")).alias("grams"), *parts)
+                parts.append(F.coalesce((self._number(df, c, kind) - mean) / scale, F.lit(0.0)))
+        return (F.array(*grams) if grams else F.array().cast("array<array<long>>")), F.array(*parts).cast("array<double>")
+
+    def _vectors(self, df: DataFrame, keys: list[str], row: str) -> DataFrame:
+        grams, numbers = self._key_vectors(df, keys)
+        return df.select(row, grams.alias("grams"), numbers.alias("numbers"))
 
     def _weighted(self, vectors: DataFrame, row: str) -> DataFrame:
-        """``(row, gram, w)``: TF-IDF weights, of norm 1 within each key."""
-        counts = vectors.select(row, F.explode("grams").alias("gram")).groupBy(row, "gram").agg(F.count(F.lit(1)).alias("tf"))
-        idf = F.log((1.0 + self.n_) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
-        raw = counts.join(self.df_, "gram", "left").withColumn("w", F.col("tf") * idf)
-        key = F.substring_index("gram", ":", 1)
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(row, key)))
-        return raw.select(row, "gram", (F.col("w") / norm).alias("w"))
+        """``(row, numbers, filled, grams: list of (gram, w))`` with weights of norm 1 within each key."""
+        each = vectors.select(row, F.posexplode("grams").alias("key", "own")).select(row, "key", F.explode("own").alias("gram"))
+        raw = each.groupBy(row, "key", "gram").agg(F.count(F.lit(1)).alias("tf")).join(self.df_, "gram")
+        raw = raw.withColumn("w", F.col("tf") * (F.log((1.0 + self.n_) / (1.0 + F.col("df"))) + 1.0))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(row, "key")))
+        lists = raw.withColumn("w", F.col("w") / norm).groupBy(row).agg(F.count_distinct("key").alias("filled"), F.collect_list(F.struct("gram", "w", "df")).alias("weights"))
+        return vectors.select(row, "numbers").join(lists, row, "left").withColumn("filled", F.coalesce("filled", F.lit(0)).cast("double"))
+
+    def _random_reference(self) -> float:
+        if self.n_ < 2:
+            raise ValueError("random pairs need at least two auxiliary rows")
+        index = self.index_ if self.small_ else self._sampled(4 * self.reference.n_sampled_pairs)
+        rng, n = np.random.default_rng(self.reference.seed), len(index.ids)
+        left = rng.integers(0, n, self.reference.n_sampled_pairs)
+        right = (left + rng.integers(1, n, self.reference.n_sampled_pairs)) % n
+        out = []
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            (x, g, u, f), (y, h, v, e) = index.vector(a), index.vector(b)
+            _, i, j = np.intersect1d(g, h, return_indices=True)
+            out.append(np.sqrt(max(0.0, ((x - y) ** 2).sum() + f + e - 2 * (u[i] * v[j]).sum())))
+        return float(np.percentile(out, self.reference.percentile))
+
+    def _sampled(self, rows: int) -> _Index:
+        """A few rows of least hash as an index of their own."""
+        return _index_of(self.vectors_.orderBy(F.xxhash64("__aux"), "__aux").limit(rows).toPandas(), "__aux")
 
     # --- neighbours ---
 
-    def _neighbors(self, vectors: DataFrame, row: str, weights: DataFrame | None, k: int, exclude_self: bool = False) -> DataFrame:
-        """``(row, __aux, d, rank)`` of the k nearest auxiliary rows."""
-        width = sum(kind != "string" for kind in self.kinds_)
-        aux = self.vectors_.withColumnsRenamed({f"p{j}": f"q{j}" for j in range(width)}).withColumnRenamed("grams", "aux_grams")
-        strings = [j for j, kind in enumerate(self.kinds_) if kind == "string"]
-        if width == 0:
-            met = weights.join(self.weights_.withColumnRenamed("w", "v"), "gram").groupBy(row, "__aux").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-            if exclude_self:
-                met = met.where(F.col(row) != F.col("__aux"))
-            scored = met.withColumn("d", F.sqrt(F.greatest(F.lit(0.0), 2.0 * len(strings) - 2.0 * F.col("dot"))))
-            # Rows without a common gram: distance sqrt(2) to a non-empty row, 1 to an empty one.
-            first = aux.agg(F.min(F.when(F.size("aux_grams") > 0, F.col("__aux"))).alias("full"), F.min(F.when(F.size("aux_grams") == 0, F.col("__aux"))).alias("empty")).first()
-            rest = vectors.join(met.select(row).distinct(), row, "left_anti")
-            full = F.lit(first["full"]).cast("long")
-            empty = F.lit(first["empty"]).cast("long")
-            own_empty = F.size("grams") == 0
-            others = rest.select(row, F.coalesce(empty, full).alias("__aux"), F.when(own_empty & F.lit(first["empty"] is not None), 0.0).when(own_empty | F.lit(first["empty"] is not None), 1.0).otherwise(2.0**0.5).alias("d"))
-            scored = scored.select(row, "__aux", "d").union(others.where("__aux is not null"))
+    def _matched(self, X: DataFrame) -> DataFrame:
+        """``X`` with ``__near``: the auxiliary row, its distance, the reference distance."""
+        spark, reference = X.sparkSession, self.reference
+        held = spark.sparkContext.broadcast((self.index_, self.weights_))
+        k = reference.reference_neighbor + 1 if isinstance(reference, OtherNeighbor) else 1
+        fixed = self.reference_ if isinstance(reference, RandomPairs) else 1.0 if isinstance(reference, NoRescaling) else None
+
+        @F.pandas_udf("aux long, d double, ref double")
+        def near(grams: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+            index, weights = held.value
+            out, own = [], {}
+            for lists, x in zip(grams, numbers, strict=True):
+                if not len(index.ids):
+                    out.append((None, None, None))
+                    continue
+                at, d = index.nearest(k, np.asarray(x, float), *weights.of(lists))
+                ref = fixed
+                if isinstance(reference, OtherNeighbor):
+                    ref = d[-1] if len(d) == k else None
+                elif isinstance(reference, SelfJoinNeighbor):
+                    if at[0] not in own:
+                        _, e = index.nearest(reference.reference_neighbor + 1, *index.vector(at[0]))
+                        own[at[0]] = e[-1] if len(e) == reference.reference_neighbor + 1 else None
+                    ref = own[at[0]]
+                out.append((index.ids[at[0]], d[0], ref))
+            return pd.DataFrame(out, columns=["aux", "d", "ref"])
+
+        # Vectors are named twice, hence a projection of their own; the function is called once a row.
+        grams, numbers = self._key_vectors(X, self.main_keys_)
+        ready = X.withColumns({"__grams": grams, "__numbers": numbers})
+        twice = lambda c: F.when(F.col(c).isNotNull(), F.col(c))
+        return ready.withColumn("__near", near.asNondeterministic()(twice("__grams"), twice("__numbers")))
+
+    def _neighbors(self, vectors: DataFrame, row: str, k: int) -> DataFrame:
+        """``(row, __aux, d, rank)`` of the k nearest auxiliary rows, beyond what one task can hold."""
+        if all(kind == "string" for kind in self.kinds_):
+            scored = self._joined(vectors, row, k)
         else:
-            if self.vectors_.count() > BROADCAST_ROWS:
-                raise ValueError(f"numeric keys are matched against at most {BROADCAST_ROWS} auxiliary rows")
-            scored = self._numeric(vectors, aux, row, width, k, weights, len(strings), exclude_self)
+            scored = self._blocked(vectors, row, k)
         order = Window.partitionBy(row).orderBy("d", "__aux")
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    def _numeric(self, vectors: DataFrame, aux: DataFrame, row: str, width: int, k: int, weights: DataFrame | None, strings: int, exclude_self: bool) -> DataFrame:
-        """Distances to the broadcast auxiliary matrix, k best per row, batch by batch.
+    def _joined(self, vectors: DataFrame, row: str, k: int) -> DataFrame:
+        """Distances over string keys, from the grams that two rows share.
 
-        The matrix has at most ``BROADCAST_ROWS`` rows; larger tables are refused.
+        Rows meet on grams that at most ``COMMON`` auxiliary rows hold.  What a
+        row could still share with others, through its common grams alone, is
+        bounded by the norm of these; only rows whose k-th best match is below
+        that bound meet on common grams as well.  Auxiliary rows without a gram
+        in common are as far as their number of filled keys says, so the first
+        few of each number stand for all.
         """
-        import pandas as pd
-
-        table = aux.select("__aux", *[f"q{j}" for j in range(width)]).orderBy("__aux").toPandas()
-        numbers, matrix = table["__aux"].to_numpy(), table.iloc[:, 1:].to_numpy(float)
-        gram_weights = None
-        if strings:
-            index: dict[str, list] = {}
-            for r in self.weights_.join(self.vectors_.select("__aux"), "__aux").collect():
-                index.setdefault(r["gram"], []).append((r["__aux"], r["w"]))
-            place = {a: j for j, a in enumerate(numbers)}
-            gram_weights = {g: [(place[a], w) for a, w in x] for g, x in index.items()}
-            lists = weights.groupBy(row).agg(F.collect_list(F.struct("gram", "w")).alias("ws"))
-            vectors = vectors.join(lists, row, "left")
-
-        def run(batches):
-            for batch in batches:
-                x = batch[[f"p{j}" for j in range(width)]].to_numpy(float)
-                out = []
-                for i in range(len(batch)):
-                    d2 = ((matrix - x[i]) ** 2).sum(axis=1)
-                    if strings:
-                        dots = np.zeros(len(matrix))
-                        for g, w in batch["ws"].iloc[i] if batch["ws"].iloc[i] is not None else ():
-                            for at, v in gram_weights.get(g, ()):
-                                dots[at] += w * v
-                        d2 = d2 + np.maximum(0.0, 2.0 * strings - 2.0 * dots)
-                    if exclude_self:
-                        d2 = np.where(numbers == batch[row].iloc[i], np.inf, d2)
-                    best = np.lexsort((numbers, d2))[:k]
-                    out += [(batch[row].iloc[i], numbers[b], float(np.sqrt(d2[b]))) for b in best if np.isfinite(d2[b])]
-                yield pd.DataFrame(out, columns=[row, "__aux", "d"])
-
-        return vectors.select(row, *[f"p{j}" for j in range(width)], *(["ws"] if strings else [])).mapInPandas(run, f"{row} long, __aux long, d double")
-
-    def _reference(self):
-        if self.ref_dist == "random_pairs":
-            rows = self.aux_.count()
-            if rows < 2:
-                raise ValueError("random pairs need at least two auxiliary rows")
-            rng = np.random.default_rng(0)
-            left = rng.integers(0, rows, 500)
-            right = (left + rng.integers(1, rows, 500)) % rows
-            pairs = self.aux_.sparkSession.createDataFrame([(j, int(a), int(b)) for j, (a, b) in enumerate(zip(left, right, strict=True))], "pair long, a long, b long")
-            width = sum(kind != "string" for kind in self.kinds_)
-            a = self.vectors_.select(F.col("__aux").alias("a"), *[F.col(f"p{j}").alias(f"x{j}") for j in range(width)], F.size("grams").alias("ga"))
-            b = self.vectors_.select(F.col("__aux").alias("b"), *[F.col(f"p{j}").alias(f"y{j}") for j in range(width)], F.size("grams").alias("gb"))
-            both = pairs.join(a, "a").join(b, "b")
-            d2 = F.lit(0.0)
-            for j in range(width):
-                d2 = d2 + (F.col(f"x{j}") - F.col(f"y{j}")) * (F.col(f"x{j}") - F.col(f"y{j}"))
-            strings = sum(kind == "string" for kind in self.kinds_)
-            if strings:
-                u = pairs.join(self.weights_.select(F.col("__aux").alias("a"), "gram", "w"), "a").select("pair", "gram", "w")
-                v = pairs.join(self.weights_.select(F.col("__aux").alias("b"), "gram", F.col("w").alias("v")), "b").select("pair", "gram", "v")
-                dots = u.join(v, ["pair", "gram"]).groupBy("pair").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-                filled = F.when(F.col("ga") > 0, float(strings)).otherwise(0.0) + F.when(F.col("gb") > 0, float(strings)).otherwise(0.0)
-                both = both.join(dots, "pair", "left")
-                d2 = d2 + F.greatest(F.lit(0.0), filled - 2.0 * F.coalesce("dot", F.lit(0.0)))
-            return both.agg(F.percentile(F.sqrt(d2), 0.25)).first()[0]
-        return None
+        aux = self.vectors_.select("__aux", F.col("filled").alias("aux_filled"), "weights")
+        postings = aux.select("__aux", F.explode("weights").alias("g")).select("__aux", "g.gram", F.col("g.w").alias("v"), "g.df")
+        own = vectors.select(row, "filled", F.explode("weights").alias("g")).select(row, "g.gram", "g.w", "g.df")
+        rare = own.where(F.col("df") <= COMMON).join(postings.where(F.col("df") <= COMMON).drop("df"), "gram").select(row, "__aux").distinct()
+        exact = self._dots(rare, vectors, row)
+        bound = own.where(F.col("df") > COMMON).groupBy(row).agg(F.sqrt(F.sum(F.col("w") * F.col("w")) * len(self.kinds_)).alias("bound"))
+        ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy(row).orderBy(F.desc("dot"), "__aux"))).where(F.col("rank") == k).select(row, "dot")
+        slack = (len(self.kinds_) - 1) / 2 + 1e-9  # a row of fewer filled keys may be nearer at a smaller product
+        open_ = bound.join(ranked, row, "left").where(F.col("dot").isNull() | (F.col("dot") <= F.col("bound") + slack)).select(row)
+        wide = own.where(F.col("df") > COMMON).join(open_, row).join(postings.where(F.col("df") > COMMON).drop("df"), "gram").select(row, "__aux").distinct()
+        met = durable(exact.union(self._dots(wide.join(rare, [row, "__aux"], "left_anti"), vectors, row)))
+        few = Window.partitionBy("aux_filled").orderBy("__aux")
+        fillers = aux.select("__aux", "aux_filled").withColumn("place", F.row_number().over(few)).where(F.col("place") <= k).select("__aux").collect()  # k for each number of keys
+        others = vectors.select(row, F.explode(F.array(*[F.lit(r["__aux"]) for r in fillers])).alias("__aux")).join(met.select(row, "__aux"), [row, "__aux"], "left_anti")
+        pairs = met.select(row, "__aux", "dot").union(others.select(row, "__aux", F.lit(0.0)))
+        full = pairs.join(vectors.select(row, "filled"), row).join(aux.select("__aux", "aux_filled"), "__aux")
+        d2 = F.col("filled") + F.col("aux_filled") - 2 * F.col("dot")
+        return full.select(row, "__aux", F.sqrt(F.greatest(F.round(d2, 9), F.lit(0.0))).alias("d"))
+
+    def _dots(self, pairs: DataFrame, vectors: DataFrame, row: str) -> DataFrame:
+        """Whole products of the pairs' vectors."""
+        both = pairs.join(vectors.select(row, F.col("weights").alias("a")), row).join(self.vectors_.select("__aux", F.col("weights").alias("b")), "__aux")
+
+        @F.pandas_udf("double")
+        def dot(a: pd.Series, b: pd.Series) -> pd.Series:
+            out = []
+            for x, y in zip(a, b, strict=True):
+                left = {g["gram"]: g["w"] for g in x}
+                out.append(sum(left.get(g["gram"], 0.0) * g["w"] for g in y))
+            return pd.Series(out, dtype=float)
+
+        return both.select(row, "__aux", dot("a", "b").alias("dot"))
+
+    def _blocked(self, vectors: DataFrame, row: str, k: int) -> DataFrame:
+        """Every block of main rows against every block of auxiliary rows, k best of each."""
+        n_blocks = -(-self.n_ // BROADCAST_ROWS)
+        n_parts = max(1, -(-vectors.count() // MAIN_ROWS))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        blocks, parts = F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.sequence(F.lit(0), F.lit(n_parts - 1))
+        left = vectors.withColumn("part", deal(row, n_parts)).withColumn("block", F.explode(blocks))
+        right = self.vectors_.withColumn("block", deal("__aux", n_blocks)).withColumn("part", F.explode(parts))
+
+        def best(main: pd.DataFrame, aux: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(aux):
+                index = _index_of(aux, "__aux")
+                other = _index_of(main, row)
+                for i in range(len(main)):
+                    at, d = index.nearest(k, *other.vector(i))
+                    out += [(other.ids[i], index.ids[a], e) for a, e in zip(at.tolist(), d.tolist(), strict=True)]
+            return pd.DataFrame(out, columns=[row, "__aux", "d"])
+
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, f"{row} long, __aux long, d double")
 
     def transform(self, X: DataFrame) -> DataFrame:
-        rows = X.withColumn("__main", F.monotonically_increasing_id()).persist()
-        vectors = self._vectors(rows, self.main_keys_, "__main")
-        weights = self._weighted(vectors, "__main") if "string" in self.kinds_ else None
-        near = self._neighbors(vectors, "__main", weights, 2 if self.ref_dist == "second_neighbor" else 1)
-        best = near.where("rank = 1").select("__main", "__aux", "d")
-        if self.ref_dist == "no_rescaling":
-            best = best.withColumn("ref", F.lit(1.0))
-        elif self.ref_dist == "random_pairs":
-            best = best.withColumn("ref", F.lit(float(self.reference_)))
-        elif self.ref_dist == "second_neighbor":
-            best = best.join(near.where("rank = 2").select("__main", F.col("d").alias("ref")), "__main", "left")
+        if self.small_:
+            rows = self._matched(X)
         else:
-            own = self.weights_.withColumnRenamed("__aux", "__self") if "string" in self.kinds_ else None
-            selves = self.vectors_.withColumnRenamed("__aux", "__self")
-            to_other = self._neighbors(selves, "__self", own, 1, exclude_self=True).select(F.col("__self").alias("__aux"), F.col("d").alias("ref"))
-            best = best.join(to_other, "__aux", "left")
-        scaled = F.when(F.coalesce("ref", F.lit(0.0)) > 0, F.col("d") / F.col("ref")).when(F.col("d") == 0, 0.0).otherwise(float("inf"))
-        best = best.withColumn("scaled", scaled).withColumn("ok", F.col("scaled") <= self.max_dist)
+            numbered = durable(X.withColumn("__main", F.monotonically_increasing_id()))
+            vectors = durable(self._weighted(self._vectors(numbered, self.main_keys_, "__main"), "__main"))
+            k = self.reference.reference_neighbor + 1 if isinstance(self.reference, OtherNeighbor) else 1
+            near = durable(self._neighbors(vectors, "__main", k))
+            best = near.where("rank = 1").select("__main", "__aux", "d")
+            if isinstance(self.reference, OtherNeighbor):
+                best = best.join(near.where(F.col("rank") == k).select("__main", F.col("d").alias("ref")), "__main", "left")
+            elif isinstance(self.reference, SelfJoinNeighbor):
+                matched = best.select("__aux").distinct()
+                selves = durable(self.vectors_.join(matched, "__aux", "left_semi").withColumnRenamed("__aux", "__self"))
+                last = self._neighbors(selves, "__self", self.reference.reference_neighbor + 1).where(F.col("rank") == self.reference.reference_neighbor + 1)
+                best = best.join(last.select(F.col("__self").alias("__aux"), F.col("d").alias("ref")), "__aux", "left")
+            else:
+                best = best.withColumn("ref", F.lit(1.0 if self.reference_ is None else self.reference_))
+            rows = numbered.join(best.select("__main", F.struct(F.col("__aux").alias("aux"), "d", "ref").alias("__near")), "__main", "left")
+        d, ref = F.col("__near.d"), F.coalesce("__near.ref", F.lit(0.0))
+        scaled = F.when(d == 0, 0.0).when(ref > 0, d / ref).when(d.isNotNull(), float("inf"))
+        rows = rows.withColumns({"__scaled": scaled, "__ok": F.coalesce(scaled <= self.max_dist, F.lit(False))})
         names = fresh_names([f"{c}{self.suffix}" for c in self.aux.columns], X.columns)
         aux = self.aux_.select("__aux", *[quoted(c).alias(n) for c, n in zip(self.aux.columns, names, strict=True)])
-        joined = rows.join(best, "__main", "left").join(aux, "__aux", "left")
-        kept = [F.when(F.col("ok"), quoted(n)).alias(n) for n in names]
-        info = [F.col("d").cast("float").alias("match_distance"), F.col("scaled").cast("float").alias("match_rescaled_distance"), F.coalesce("ok", F.lit(False)).alias("match_accepted")]
-        return joined.select(*[quoted(c) for c in X.columns], *kept, *(info if self.info else []))
+        aux = F.broadcast(aux) if self.small_ else aux  # at most BROADCAST_ROWS rows
+        joined = rows.withColumn("__aux", F.when(F.col("__ok"), F.col("__near.aux"))).join(aux, "__aux", "left")
+        info = [d.cast("float").alias("match_distance"), F.col("__scaled").cast("float").alias("match_rescaled_distance"), F.col("__ok").alias("match_accepted")]
+        return joined.select(*[quoted(c) for c in X.columns], *[quoted(n) for n in names], *(info if self.info else []))
 
     def fit_transform(self, X: DataFrame) -> DataFrame:
         return self.fit(X).transform(X)
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, left_on=None, right_on=None, on=None, suffix: str = "", max_dist: float = float("inf"), ref_dist: str = "random_pairs", add_match_info: bool = False, drop_unmatched: bool = False) -> DataFrame:
+def _index_of(table: pd.DataFrame, row: str) -> _Index:
+    """An index of rows that carry their weights, in the rows' order of ``row``."""
+    lists = [x if x is not None else () for x in table["weights"]]
+    grams = [np.array([g["gram"] for g in x], np.int64) for x in lists]
+    weights = [np.array([g["w"] for g in x], float) for x in lists]
+    numbers = np.array([np.asarray(x, float) for x in table["numbers"]], float).reshape(len(table), -1)
+    return _Index(table[row].to_numpy(np.int64), numbers, grams, weights, table["filled"].to_numpy(float))
+
+
+def fuzzy_join(
+    left: DataFrame, right: DataFrame, left_on=None, right_on=None, on=None, suffix: str = "", max_dist: float | None = float("inf"), ref_dist="random_pairs",
+    string_encoder: StringVectors | None = None, add_match_info: bool = False, drop_unmatched: bool = False,
+) -> DataFrame:
     """:class:`Joiner` as a function; ``drop_unmatched`` leaves unmatched rows out."""
-    out = Joiner(right, key=on, main_key=left_on, aux_key=right_on, suffix=suffix, max_dist=max_dist, ref_dist=ref_dist).fit_transform(left)
+    joiner = Joiner(right, key=on, main_key=left_on, aux_key=right_on, suffix=suffix, max_dist=max_dist, ref_dist=ref_dist, string_encoder=string_encoder)
+    out = joiner.fit_transform(left)
     if drop_unmatched:
         out = out.where("match_accepted")
     return out if add_match_info else out.drop("match_distance", "match_rescaled_distance", "match_accepted")
 
 
 def _tagged(j: int):
-    return lambda gram: F.concat(F.lit(f"{j}:"), gram)
+    return lambda gram: F.xxhash64(F.lit(j), gram)
 
 
 #: Distinct spellings that are clustered on the driver.
@@ -240,14 +418,16 @@ def deduplicate(df: DataFrame, column: str, n_clusters: int | None = None, ngram
     counts come to the driver; average linkage over TF-IDF distances, cut where
     the mean silhouette is largest.  The mapping is joined back.
     """
-    from tablewright.operators.encoders import hashed_grams
+    from tablewright.operators.encoders import _Features
 
     spark = df.sparkSession
-    counts = df.where(quoted(column).isNotNull()).groupBy(quoted(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy("value").limit(MOST_SPELLINGS + 1).collect()
+    counts = df.where(quoted(column).isNotNull()).groupBy(quoted(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy("value").limit(MOST_SPELLINGS + 1)
+    features = _Features("char_wb", ngram_range, (), 4096)
+    counts = counts.withColumn("grams", features.hashes(F.col("value").cast("string"))).collect()
     if len(counts) > MOST_SPELLINGS:
         raise ValueError(f"{column} has more than {MOST_SPELLINGS} distinct values")
     values, n = [r["value"] for r in counts], np.array([r["n"] for r in counts])
-    x = hashed_grams(values, *ngram_range, 4096, True)
+    x = features.counts([r["grams"] for r in counts])
     x = x * (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * x @ x.T))

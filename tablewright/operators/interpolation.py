@@ -11,40 +11,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.primitives import total_seconds
+from tablewright.operators.columns import OneHot, with_shared
+from tablewright.operators.encoders import StringEncoder
 from tablewright.operators.relational import check_keys
+from tablewright.stats import distinct_counts
 from tablewright.types import classify, fresh_names, is_numeric, no_nan, quoted
 
 
 class InterpolationJoiner:
     """Predict each auxiliary column from the key and add the predictions.
 
+    Keys are numbers, times, and strings, the last one-hot where they are few
+    and by ``string_encoder`` otherwise.
     Numbers by gradient-boosted trees, strings and booleans by a random forest
     (``regressor`` and ``classifier`` may be other estimators of ``pyspark.ml``).
     Rows where a column is null do not train it.  A column whose model fails is
     null, and the failure is raised, warned of or passed over.
     """
 
-    def __init__(self, aux_table: DataFrame, *, key=None, main_key=None, aux_key=None, suffix: str = "", regressor=None, classifier=None, on_estimator_failure: str = "warn"):
+    def __init__(self, aux_table: DataFrame, *, key=None, main_key=None, aux_key=None, suffix: str = "", regressor=None, classifier=None, string_encoder=None, cardinality_threshold: int = 40, on_estimator_failure: str = "warn"):
         if on_estimator_failure not in ("warn", "raise", "pass"):
             raise ValueError("on_estimator_failure must be 'warn', 'raise' or 'pass'")
         self.aux, self.keys, self.suffix, self.on_failure = aux_table, (key, main_key, aux_key), suffix, on_estimator_failure
+        self.string_encoder, self.cardinality_threshold = string_encoder or StringEncoder(10), cardinality_threshold
         self.regressor, self.classifier = regressor or GBTRegressor(maxIter=20, seed=0), classifier or RandomForestClassifier(seed=0)
 
-    @staticmethod
-    def _features(df: DataFrame, keys: list[str]) -> DataFrame:
-        numbers = []
-        for j, c in enumerate(keys):
-            field = df.schema[c]
-            if not is_numeric(field) and classify(field) != "date":
-                raise ValueError(f"key column {c!r} must hold numbers or times")
-            x = total_seconds(field) if classify(field) == "date" else no_nan(field).cast("double")
-            numbers.append(F.coalesce(x, F.lit(0.0)).alias(f"__x{j}"))
-        names = [f"__x{j}" for j in range(len(keys))]
-        return VectorAssembler(inputCols=names, outputCol="__features").transform(df.select("*", *numbers)).drop(*names)
+    def _fit_keys(self) -> None:
+        """Operators that make numbers of the keys: times in seconds, strings one-hot or by their n-grams."""
+        self.key_models_ = {}
+        for c in self.aux_keys_:
+            field = self.aux.schema[c]
+            if is_numeric(field) or classify(field) == "date":
+                continue
+            if classify(field) not in ("string", "category", "bool"):
+                raise ValueError(f"key column {c!r} must hold numbers, times or strings")
+            few = distinct_counts(self.aux, {c: quoted(c)})[c] < self.cardinality_threshold
+            self.key_models_[c] = (OneHot(drop_binary=False) if few else self.string_encoder).fit(self.aux, c)
+
+    def _features(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        named = df.withColumns({f"__key_{j}": quoted(c) for j, c in enumerate(keys)})
+        models, numbers = {}, []
+        for j, c in enumerate(self.aux_keys_):
+            field = named.schema[f"__key_{j}"]
+            if c in self.key_models_:
+                models[field.name] = self.key_models_[c]
+            else:
+                x = total_seconds(field) if classify(field) == "date" else no_nan(field).cast("double")
+                numbers.append(F.coalesce(x, F.lit(0.0)))
+        named = with_shared(named, models)
+        numbers += [F.coalesce(e.cast("double"), F.lit(0.0)) for name, m in models.items() for e in m.exprs(named.schema[name])]
+        names = [f"__x{j}" for j in range(len(numbers))]
+        wide = named.select(*[quoted(c) for c in df.columns], *[x.alias(n) for x, n in zip(numbers, names, strict=True)])
+        return VectorAssembler(inputCols=names, outputCol="__features").transform(wide).drop(*names)
 
     def fit(self, X: DataFrame) -> InterpolationJoiner:
         self.main_keys_, self.aux_keys_ = check_keys(X, self.aux, *self.keys)
-        train = self._features(self.aux, self.aux_keys_).persist()
+        self._fit_keys()
+        train = self._features(self.aux, self.aux_keys_).persist()  # only to spare a rereading for each column
         self.models_ = {}
         for field in self.aux.schema:
             if field.name in self.aux_keys_:

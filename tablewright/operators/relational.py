@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tablewright.storage import durable
 from tablewright.types import fresh_names, is_numeric, no_nan, quoted
 
 OPERATIONS = ("count", "min", "max", "sum", "mean", "std", "median", "mode")
@@ -168,6 +172,25 @@ class AggTarget:
         return self.fit(X).transform(X)
 
 
+def check_input(df: DataFrame, fitted: T.StructType | None = None) -> DataFrame:
+    """``df`` if it is a frame with distinct names and, after a fit, the fit's columns and types.
+
+    Other names, another order and repeated names raise; another type warns,
+    since a cast may be what the caller wants.
+    """
+    if not isinstance(df, DataFrame):
+        raise TypeError(f"a Spark DataFrame is needed, not {type(df).__name__}")
+    repeated = sorted({c for c in df.columns if df.columns.count(c) > 1})
+    if repeated:
+        raise ValueError(f"repeated column names: {repeated}")
+    if fitted is not None:
+        check_columns(df, fitted.names)
+        other = [f"{f.name}: {f.dataType.simpleString()}, at fit {fitted[f.name].dataType.simpleString()}" for f in df.schema if f.dataType != fitted[f.name].dataType]
+        if other:
+            warnings.warn(f"column types differ from those of the fit: {'; '.join(other)}", stacklevel=2)
+    return df
+
+
 def check_columns(df: DataFrame, expected: list[str]) -> None:
     """Raise unless ``df`` has the columns of the fit, in the same order."""
     if df.columns != expected:
@@ -263,9 +286,9 @@ def ranked_prefix(counts: DataFrame, keys: list[str], value: str, name: str, bin
     """``keys`` with the sum of ``value`` over all smaller keys, in two levels.
 
     Keys are dealt by range; the parts' sums are few, and each part sums its own
-    keys.  The dealt table is reused by both levels.
+    keys.  The dealt table is written once, both levels read it.
     """
-    dealt = counts.repartitionByRange(bins, *keys).withColumn("__part", F.spark_partition_id()).persist()
+    dealt = durable(counts.repartitionByRange(bins, *keys).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
     starts = parts.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))

@@ -36,6 +36,14 @@ class Matched:
         self.choice, self.targets = choice, targets
 
 
+class BoolChoice(Choice):
+    """True or false, the default first."""
+
+    def if_else(self, yes, no) -> Matched:
+        """A value that follows the choice."""
+        return Matched(self, {True: yes, False: no})
+
+
 class NumericChoice(Choice):
     """Numbers from ``low`` to ``high``, maybe on a log scale or in ``n_steps``."""
 
@@ -72,8 +80,8 @@ def optional(value, name: str, default=None) -> Choice:
     return Choice(name, [value, None] if default is None else [None, value])
 
 
-def choose_bool(name: str, default: bool = True) -> Choice:
-    return Choice(name, [default, not default])
+def choose_bool(name: str, default: bool = True) -> BoolChoice:
+    return BoolChoice(name, [default, not default])
 
 
 def choose_float(low: float, high: float, name: str, log: bool = False, n_steps: int | None = None, default=None) -> NumericChoice:

@@ -8,8 +8,11 @@ runs before an action.
 
 from __future__ import annotations
 
+import html
+import inspect
 import itertools
 import operator
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from tablewright import selectors as s
 from tablewright.config import get_config
 from tablewright.functions.primitives import concat_columns, concat_rows
+from tablewright.operators.columns import PassThrough
 from tablewright.plans.choices import Choice, is_choice, resolved
 from tablewright.types import quoted
 
@@ -91,7 +95,7 @@ def _binary(name: str, op: Callable):
     setattr(Node, f"__r{name}__", lambda self, other: Node("binary", (other, self), op, name=name))
 
 
-for _name in ("add", "sub", "mul", "truediv", "mod", "pow", "floordiv", "and", "or", "xor"):
+for _name in ("add", "sub", "mul", "matmul", "truediv", "mod", "pow", "floordiv", "lshift", "rshift", "and", "or", "xor"):
     _binary(_name, getattr(operator, f"{_name}_" if _name in ("and", "or") else _name))
 for _name in ("eq", "ne", "lt", "le", "gt", "ge"):
     setattr(Node, f"__{_name}__", lambda self, other, op=getattr(operator, _name), n=_name: Node("binary", (self, other), op, name=n))
@@ -144,6 +148,9 @@ def evaluate(node: Node, env: dict | None = None, mode: str = "fit_transform", s
                 raise KeyError(f"no value for the variable {n['name']!r}")
         elif kind == "mode":
             out = mode
+        elif kind == "estimator":
+            value(n["inputs"][0])
+            out = state.fitted[n["value"]]
         elif kind == "if_else":
             test, yes, no = n["inputs"]
             out = value(yes if value(test) else no)
@@ -179,12 +186,32 @@ def evaluate(node: Node, env: dict | None = None, mode: str = "fit_transform", s
 _REQUIRED = object()
 
 
-def _fit(estimator, frame: DataFrame, y: str | None, options: dict):
-    from tablewright.operators.apply import ApplyToCols
+def _fit(estimator, frame: DataFrame, y, options: dict):
+    """The fitted operator.
+
+    ``how`` "cols" wraps column by column, "sub_frame" the selected columns at
+    once, "no_wrap" nothing, "auto" what suits the operator.  A target ``y`` goes
+    to operators whose ``fit`` takes one, unless ``unsupervised``; a column name
+    of the frame is also set as the label column of ``pyspark.ml`` estimators.
+    """
+    from tablewright.operators.apply import ApplyToCols, ApplyToSubFrame
     from tablewright.operators.columns import ColumnTransformer
 
-    if isinstance(estimator, ColumnTransformer):
+    how = options.get("how", "auto")
+    if estimator is None or estimator == "passthrough":
+        estimator = ApplyToCols(PassThrough())
+    elif how == "cols" or how == "auto" and isinstance(estimator, ColumnTransformer):
         estimator = ApplyToCols(estimator, options.get("cols"), options.get("exclude_cols"), options.get("allow_reject", False))
+    elif how == "sub_frame" or how == "auto" and (options.get("cols") is not None or options.get("exclude_cols") is not None):
+        kept = (s.all() if options.get("cols") is None else s.make_selector(options["cols"])) - (s.cols() if options.get("exclude_cols") is None else s.make_selector(options["exclude_cols"]))
+        estimator = ApplyToSubFrame(estimator, kept)
+    if y is not None and not options.get("unsupervised", False):
+        if isinstance(y, str) and hasattr(estimator, "labelCol"):
+            estimator = estimator.copy({estimator.labelCol: y})
+        elif hasattr(estimator, "fit") and "y" in inspect.signature(estimator.fit).parameters:
+            return estimator.fit(frame, y=y) or estimator
+        else:
+            raise TypeError(f"{type(estimator).__name__} takes no target; pass unsupervised=True")
     if hasattr(estimator, "fit"):
         model = estimator.fit(frame)
         return model if model is not None else estimator
@@ -207,8 +234,28 @@ class Namespace:
     def __init__(self, node: Node):
         self.node = node
 
-    def apply(self, estimator, y=None, cols=None, exclude_cols=None, allow_reject: bool = False) -> Node:
-        return Node("apply", (self.node, y, {"cols": cols, "exclude_cols": exclude_cols, "allow_reject": allow_reject}), estimator=estimator)
+    def apply(self, estimator, y=None, cols=None, exclude_cols=None, how: str = "auto", allow_reject: bool = False, unsupervised: bool = False) -> Node:
+        """Fit an operator here and apply it, see :func:`_fit` for ``how`` and ``y``."""
+        if how not in ("auto", "cols", "sub_frame", "no_wrap"):
+            raise ValueError("how must be 'auto', 'cols', 'sub_frame' or 'no_wrap'")
+        options = {"cols": cols, "exclude_cols": exclude_cols, "how": how, "allow_reject": allow_reject, "unsupervised": unsupervised}
+        return Node("apply", (self.node, y, options), estimator=estimator)
+
+    def with_scoring(self, scoring: Callable[[DataFrame], float], name: str | None = None) -> Node:
+        """The same value, which learners score by ``scoring``; several may be added."""
+        node = self._marked()
+        node._n["scorers"] = [*self.node._n.get("scorers", []), (name or getattr(scoring, "__name__", "score"), scoring)]
+        return node
+
+    def scorers(self) -> list[tuple[str, Callable]]:
+        """Name and function of every score that the plan carries, the last node's first."""
+        return next((n._n["scorers"] for n in reversed(self.node._all()) if n._n.get("scorers")), [])
+
+    def applied_estimator(self) -> Node:
+        """A node whose value is the fitted operator of this ``apply`` node."""
+        if self.node._n["kind"] != "apply":
+            raise TypeError("only apply nodes have an operator")
+        return Node("estimator", (self.node,), value=self.node._n["id"])
 
     def apply_func(self, function: Callable, *args, **kwargs) -> Node:
         return deferred(function)(self.node, *args, **kwargs)
@@ -280,6 +327,47 @@ class Namespace:
     def get_data(self) -> dict:
         return {k: n._n["value"] for k, n in self.get_vars().items() if n._n["value"] is not None}
 
+    def set_data(self, data: dict) -> Node:
+        """The graph with other example values of its variables."""
+        unknown = sorted(set(data) - set(self.get_vars()))
+        if unknown:
+            raise KeyError(f"no variables named {unknown}")
+        copies: dict[int, Node] = {}
+
+        def copied(x):
+            if isinstance(x, Node):
+                return copies[x._n["id"]]
+            if isinstance(x, (list, tuple)):
+                return type(x)(copied(v) for v in x)
+            return {k: copied(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+        for node in self.node._all():
+            copy = node.tw.clone()
+            copy._n |= {"inputs": copied(node._n["inputs"])} | ({"value": data[node._n["name"]]} if node._n["kind"] == "var" and node._n["name"] in data else {})
+            copies[node._n["id"]] = copy
+        return copies[self.node._n["id"]]
+
+    def draw_graph(self) -> str:
+        """The graph in the DOT language."""
+        label = lambda n: (f"{n._n['kind']} {n._n['name'] or ''}".strip() + (f" ({n._n['role']})" if n._n["role"] else "")).replace('"', "'")
+        nodes = self.node._all()
+        lines = [f'  n{n._n["id"]} [label="{label(n)}"];' for n in nodes]
+        lines += [f"  n{i._n['id']} -> n{n._n['id']};" for n in nodes for i in _nodes_in(n._n["inputs"])]
+        return "digraph plan {\n" + "\n".join(lines) + "\n}\n"
+
+    def full_report(self, env: dict | None = None, n_rows: int = 5) -> str:
+        """Every step with its value, frames as table reports or, by setting, their first rows; as HTML."""
+        from tablewright.operators.report import TableReport
+
+        parts = [f"<pre>{html.escape(self.draw_graph())}</pre>"]
+        for j, node in enumerate(self.node._all()):
+            out = evaluate(node, env if env is not None else self.get_data(), "preview")
+            shown = f"<pre>{html.escape(repr(out))}</pre>"
+            if isinstance(out, DataFrame) and get_config()["use_table_report_data_ops"]:
+                shown = TableReport(out, n_rows, compute_associations=False).html_snippet()
+            parts.append(f"<h2>{j}: {html.escape(str(node._n['kind']))} {html.escape(str(node._n['name'] or ''))}</h2><p>{html.escape(node._n['description'] or '')}</p>{shown}")
+        return f"<!doctype html><html><body>{''.join(parts)}</body></html>"
+
     def find(self, name: str) -> Node:
         found = [n for n in self.node._all() if n._n["name"] == name]
         if not found:
@@ -287,7 +375,12 @@ class Namespace:
         return found[0]
 
     def find_X_y(self) -> dict[str, Node]:
-        return {n._n["role"]: n for n in self.node._all() if n._n["role"]}
+        """The nodes marked as X and y; each may be marked once."""
+        marked = [n for n in self.node._all() if n._n["role"]]
+        for role in ("X", "y"):
+            if len({n._n["id"] for n in marked if n._n["role"] == role}) > 1:
+                raise ValueError(f"several nodes are marked as {role}")
+        return {n._n["role"]: n for n in marked}
 
     def describe_steps(self) -> str:
         return "\n".join(f"{j}: {n._n['kind']}{' ' + repr(n._n['name']) if n._n['name'] else ''}" for j, n in enumerate(self.node._all()))
@@ -317,21 +410,27 @@ class Namespace:
 
         return train_test_split(env, key, test_size, seed)
 
-    def cross_validate(self, env: dict, key: str, scoring: Callable, cv: int = 5, seed: int = 0):
+    def cross_validate(self, env: dict, key: str, scoring: Callable | None = None, cv: int = 5, seed: int = 0):
         return self.make_learner().cross_validate(env, key, scoring, cv, seed)
 
-    def make_grid_search(self, env: dict, key: str, scoring: Callable, cv: int = 3, seed: int = 0):
+    def make_grid_search(self, env: dict, key: str, scoring: Callable | None = None, cv: int = 3, seed: int = 0):
         from tablewright.plans.learners import search
 
         return search(self.node, list(self._grid()), env, key, scoring, cv, seed)
 
-    def make_randomized_search(self, env: dict, key: str, scoring: Callable, n_iter: int = 10, cv: int = 3, seed: int = 0):
-        import random
-
+    def make_randomized_search(self, env: dict, key: str, scoring: Callable | None = None, n_iter: int = 10, cv: int = 3, seed: int = 0):
         from tablewright.plans.learners import search
 
+        return search(self.node, list(self._drawn(n_iter, seed)), env, key, scoring, cv, seed)
+
+    def _drawn(self, n_iter: int, seed: int):
         rng = random.Random(seed)
-        return search(self.node, [{k: c.draw(rng) for k, c in self.choices().items()} for _ in range(n_iter)], env, key, scoring, cv, seed)
+        for _ in range(n_iter):
+            yield {k: c.draw(rng) for k, c in self.choices().items()}
+
+    def iter_learners_randomized(self, n_iter: int, seed: int = 0):
+        for params in self._drawn(n_iter, seed):
+            yield self.make_learner(params)
 
     def _grid(self):
         choices = self.choices()

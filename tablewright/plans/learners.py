@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from statistics import mean
+from statistics import mean, pstdev
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,21 +67,43 @@ class Learner:
     def find_fitted_estimator(self, name: str):
         return self.state.fitted[self.node.tw.find(name)._n["id"]]
 
-    def cross_validate(self, env: dict, key: str, scoring: Callable[[DataFrame], float], cv: int = 5, seed: int = 0) -> list[float]:
-        scores = []
-        for train, held in iter_cv_splits(env, key, cv, seed):
-            scores.append(scoring(Learner(self.node, self.params).fit(train).predict(held)))
-        return scores
+    def score(self, env: dict, scoring: Callable[[DataFrame], float] | None = None) -> float:
+        """The score of the predictions, by ``scoring`` or the first that the plan carries."""
+        return _scoring(self.node, scoring)(self.predict(env))
+
+    def cross_validate(self, env: dict, key: str, scoring: Callable[[DataFrame], float] | None = None, cv: int = 5, seed: int = 0) -> list[float]:
+        score = _scoring(self.node, scoring)
+        return [score(Learner(self.node, self.params).fit(train).predict(held)) for train, held in iter_cv_splits(env, key, cv, seed)]
+
+
+def _scoring(node: Node, scoring: Callable | None) -> Callable[[DataFrame], float]:
+    if scoring is not None:
+        return scoring
+    carried = node.tw.scorers()
+    if not carried:
+        raise ValueError("give a scoring, or a plan that carries one (with_scoring)")
+    return carried[0][1]
 
 
 class SearchResult:
     """Scores of all candidates, best first, and the best one fitted on everything."""
 
     def __init__(self, rows: list[dict], best: Learner):
-        self.results_, self.best_learner_, self.best_params_ = rows, best, rows[0]["params"]
+        self.results_, self.best_learner_, self.best_params_, self.best_score_ = rows, best, rows[0]["params"], rows[0]["score"]
+
+    def results_table(self) -> list[dict]:
+        """A row a candidate: its parameters, mean and deviation of its scores, its rank."""
+        out = []
+        for r in self.results_:
+            rank = 1 + sum(other["score"] > r["score"] for other in self.results_)
+            out.append({**r["params"], "mean_test_score": r["score"], "std_test_score": pstdev(r["scores"]), "rank_test_score": rank})
+        return out
 
 
-def search(node: Node, candidates: list[dict], env: dict, key: str, scoring: Callable, cv: int, seed: int) -> SearchResult:
-    rows = [{"params": p, "score": mean(Learner(node, p).cross_validate(env, key, scoring, cv, seed))} for p in candidates]
+def search(node: Node, candidates: list[dict], env: dict, key: str, scoring: Callable | None, cv: int, seed: int) -> SearchResult:
+    rows = []
+    for params in candidates:
+        scores = Learner(node, params).cross_validate(env, key, scoring, cv, seed)
+        rows.append({"params": params, "score": mean(scores), "scores": scores})
     rows.sort(key=lambda r: -r["score"])
     return SearchResult(rows, Learner(node, rows[0]["params"]).fit(env))

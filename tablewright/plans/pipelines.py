@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators import ApplyToCols, DatetimeEncoder, Ordinal, SquashingScaler, StringEncoder, TableVectorizer
+from tablewright.operators.columns import with_shared
 from tablewright.types import is_numeric, quoted
 
 TREES = ("GBT", "RandomForest", "DecisionTree")
@@ -54,6 +55,7 @@ class TabularPipeline:
         for step in self.vectorizer_.cleaner_.fitted_:
             whole = self.vectorizer_._on_others(step, whole)
         columns = [e for f in cleaned.schema for e in self.vectorizer_.models_[f.name].exprs(f)]
+        whole = with_shared(whole, {f.name: self.vectorizer_.models_[f.name] for f in cleaned.schema})
         wide = whole.select(*columns, *([quoted(self.label)] if keep else []))
         numbers = wide.select(*[quoted(c).cast("double").alias(i) for c, i in zip(self.names_, self.inner_, strict=True)], *([quoted(self.label)] if keep else []))
         flags = [F.when(F.col(i).isNull(), 1.0).otherwise(0.0).alias(f"{i}_missing") for i in self.inner_]

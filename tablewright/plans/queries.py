@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright import selectors as s
-from tablewright.functions import concat_rows, ngram_similarity, quantiles_nearest, sample_rows, value_counts
+from tablewright.functions import concat_rows, ngram_similarity, quantiles_nearest, value_counts
 from tablewright.operators import (
     AggJoiner, AggTarget, ApplyToCols, Cleaner, CleanNullStrings, DatetimeEncoder, DropSimilar, DropUninformative, DurationToFloat, MinHashEncoder, MultiAggJoiner, OneHot, Ordinal,
-    SessionEncoder, SquashingScaler, TableVectorizer, ToDatetime, ToFloat, column_associations, column_profile, deduplicate, fuzzy_join, left_join, robust_histogram,
+    SessionEncoder, SquashingScaler, TableVectorizer, ToDatetime, ToFloat, column_associations, column_profile, fuzzy_join, left_join,
 )
-from tablewright.plans.learners import fold_of
 
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of a folder by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
 def query(oracle: str | None = None):
     """Register a function ``(t) -> DataFrame``, t reading tables by name."""
 
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return function(Tables(spark, sf_dir))
 
         run.__name__ = run.__qualname__ = function.__name__
         QUERIES[function.__name__] = run
@@ -204,11 +213,6 @@ def datetime_circular(t):
     return out.select(*[(F.col(c) + 0.0).alias(c) if "circular" in c else F.col(c) for c in out.columns])  # no minus zero
 
 
-@query()
-def datetime_spline(t):
-    return ApplyToCols(DatetimeEncoder(periodic_encoding="spline"), "o_orderdate").fit_transform(t("orders").select("o_orderkey", "o_orderdate"))
-
-
 @query("""with q as (select quantile_cont(l_extendedprice, .25) a, quantile_cont(l_extendedprice, .5) m, quantile_cont(l_extendedprice, .75) b from lineitem),
 z as (select l_orderkey, l_linenumber, (l_extendedprice - m) / (b - a) z from lineitem, q) select l_orderkey, l_linenumber, round(z / sqrt(1 + (z / 3) * (z / 3)), 6) l_extendedprice from z""")
 def squashing_scaler(t):
@@ -250,12 +254,6 @@ def fuzzy_join_nation(t):
     return fuzzy_join(typos, right, left_on="typo", right_on="n_name")
 
 
-@query()
-def deduplicate_values(t):
-    typo = F.when(F.col("p_partkey") % 20 == 0, F.concat(F.col("p_type"), F.lit("x"))).otherwise(F.col("p_type"))
-    return deduplicate(t("part").select("p_partkey", typo.alias("kind")), "kind")
-
-
 @query("""
 with x as (select l_returnflag a, l_linestatus b, count(*) n from lineitem group by all), c as (select *, sum(n) over (partition by a) na, sum(n) over (partition by b) nb, sum(n) over () t from x)
 select 'l_returnflag' left_column_name, 'l_linestatus' right_column_name,
@@ -300,11 +298,6 @@ def profile_customer(t):
     return out.select("column_name", "n_rows", "n_nulls", "n_unique", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max")
 
 
-@query()
-def histogram_of_lengths(t):
-    return robust_histogram(t("documents"), "n_chars")
-
-
 @query("""select o_orderkey::double o_orderkey, o_custkey::double o_custkey, cast(o_orderstatus = 'F' as double) "o_orderstatus_F", cast(o_orderstatus = 'O' as double) "o_orderstatus_O",
 cast(o_orderstatus = 'P' as double) "o_orderstatus_P", cast(year(o_orderdate) as double) o_orderdate_year, cast(month(o_orderdate) as double) o_orderdate_month, cast(day(o_orderdate) as double) o_orderdate_day from orders""")
 def vectorize_orders(t):
@@ -320,28 +313,6 @@ def clean_events(t):
     return out.withColumn("number", F.col("number").cast("double"))
 
 
-@query("select o_orderkey, o_totalprice from orders order by o_orderkey limit 100")
-def subsample_head(t):
-    return t("orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(100)
-
-
-@query()
-def subsample_hash(t):
-    return sample_rows(t("orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
-
-
-@query()
-def kfold_sizes(t):
-    return t("orders").groupBy(fold_of("o_orderkey", 5).alias("fold")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("select round(sqrt(var_pop(l_quantity) + var_pop(l_discount)), 6) factor from lineitem")
-def scaling_factor_lineitem(t):
-    line = t("lineitem")
-    total = F.sqrt(F.var_pop("l_quantity") + F.var_pop("l_discount"))
-    return line.agg(F.round(total, 6).alias("factor"))
-
-
 @query("select conv_id, count(role) role_count, min(turn) turn_min, max(turn) turn_max from conversations group by 1")
 def aggregate_conversations(t):
     from tablewright.operators import aggregate

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.config import get_config
+
 
 @dataclass
 class Dataset:
@@ -22,15 +24,21 @@ class Dataset:
         return self.tables[name]
 
 
-def load_dataset_files(spark: SparkSession, names: dict[str, str], metadata: dict | None = None) -> Dataset:
-    """A table for each ``name: path``; the path's ending tells the format."""
+def load_dataset_files(spark: SparkSession, names: dict[str, str], metadata: dict | None = None, formats: dict[str, str] | None = None) -> Dataset:
+    """A table for each ``name: path``; the path's ending, or ``formats``, tells the format.
+
+    Relative paths are below the folder that the setting ``data_dir`` names.
+    """
     tables = {}
     for name, path in names.items():
-        if path.endswith(".csv"):
+        kind = (formats or {}).get(name) or path.rsplit(".", 1)[-1]
+        if ":/" not in path and not path.startswith("/"):
+            path = f"{get_config()['data_dir']}/{path}"
+        if kind == "csv":
             tables[name] = spark.read.csv(path, header=True, inferSchema=True)
-        elif path.endswith((".json", ".jsonl")):
-            tables[name] = spark.read.json(path, multiLine=path.endswith(".json"))
-        elif path.endswith(".parquet"):
+        elif kind in ("json", "jsonl"):
+            tables[name] = spark.read.json(path, multiLine=kind == "json")
+        elif kind == "parquet":
             tables[name] = spark.read.parquet(path)
         else:
             raise ValueError(f"unknown format: {path}")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def toy_orders(spark: SparkSession) -> DataFrame:
-    rows = [(1, "pen", 2, "2020-04-03", False), (2, "cup", 3, "2020-04-04", True), (3, "cup", 5, "2020-04-04", False), (4, "spoon", 1, "2020-04-05", False), (5, "cup", 5, "2020-04-11", True), (6, "fork", 2, "2020-04-12", True)]
+    """The six example orders, the last two being the test part."""
+    rows = [(1, "pen", 2, "2020-04-03", False), (2, "cup", 3, "2020-04-04", False), (3, "cup", 5, "2020-04-04", True), (4, "spoon", 1, "2020-04-05", False), (5, "cup", 5, "2020-04-11", True), (6, "fork", 2, "2020-04-12", False)]
     return spark.createDataFrame(rows, "ID int, product string, quantity int, date string, delayed boolean")
 
 
@@ -31,11 +30,15 @@ def toy_cities(spark: SparkSession, n_rows: int = 1000, null_share: float = 0.1,
 
 
 def make_deduplication_data(spark: SparkSession, examples: list[str], entries_per_example: list[int], prob_mistake_per_letter: float = 0.2, seed: int = 0) -> DataFrame:
-    """Each example repeated, with letters replaced at random."""
-    rng = random.Random(seed)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = [("".join(rng.choice(letters) if rng.random() < prob_mistake_per_letter else c for c in e),) for e, n in zip(examples, entries_per_example, strict=True) for _ in range(n)]
-    return spark.createDataFrame(rows, "value string")
+    """Each example repeated, with letters replaced at random; rows are made on the executors."""
+    if len(examples) != len(entries_per_example):
+        raise ValueError("an entry count is needed for each example")
+    letters = F.split(F.lit("abcdefghijklmnopqrstuvwxyz"), "")
+    each = spark.createDataFrame(list(zip(examples, map(int, entries_per_example), strict=True)), "example string, n int").where("n > 0")
+    rows = each.select("example", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    draw = lambda i, j: F.pmod(F.xxhash64("example", "copy", i, F.lit(seed + j)), F.lit(1_000_000))
+    wrong = lambda c, i: F.when(draw(i, 0) < int(prob_mistake_per_letter * 1_000_000), F.get(letters, (draw(i, 1) % 26).cast("int"))).otherwise(c)
+    return rows.select(F.array_join(F.transform(F.split("example", ""), wrong), "").alias("value"))
 
 
 def make_retail_events(spark: SparkSession, n_users: int = 200, n_events: int = 5000, seed: int = 0) -> DataFrame:
