@@ -1,4 +1,11 @@
-"""Remove repeated word passages by fingerprints of word windows."""
+"""Remove repeated word passages by a parse relative to all earlier texts.
+
+Every text is parsed against the seeds (20-word windows) of all blocks, which
+tell where their words stand first.  A factor opens at a seed that stands
+earlier and copies its reference word by word as far as the reference leads;
+the seeds that straddle its end were looked up like all others and open factors
+of their own.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +22,9 @@ from tablewright.llm import _text as T
 from tablewright.llm._spark import free_name
 
 ANCHOR = 10
+#: Makes a second hash of a window's words: prints have 96 bits in all, so a
+#: chance match among 10**12 windows has a probability below 0.00001.
+CHECK = np.uint64(0xA0761D6478BD642F)
 
 
 class _Seeds:
@@ -38,70 +48,112 @@ class _Seeds:
         spot = (T.sliding(np.minimum, placed, size - anchor + 1)[self.at] & np.uint64((1 << int(bits)) - 1)).astype(np.int64) if len(self.at) else self.at
         self.anchor = T.mix(grams[spot] + np.uint64(1))
         self.print = T.window_hashes(hashes, size)[self.at]
+        self._hashes, self._size = hashes, size
+        self.place = self.at - np.searchsorted(self.doc, np.arange(len(block)))[self.doc[self.at]]
         once = np.flatnonzero(np.diff(spot, prepend=-1))
         self.keys, counts = np.unique(self.anchor[once], return_counts=True)
         self.again = counts > 1
 
+    def checks(self, some: np.ndarray) -> np.ndarray:
+        """A second, shorter print of some seeds."""
+        sums, at = T.prefix_hashes(T.mix(self._hashes ^ CHECK)), self.at[some]
+        return (T.span_hashes(sums, at, at + self._size) >> np.uint64(32)).astype(np.uint32)
+
     def candidates(self, replies: dict[int, bytes], n: int) -> np.ndarray:
         flags = X.read_flags(self.keys, replies, n) | self.again
         return np.flatnonzero(flags[np.searchsorted(self.keys, self.anchor)]) if len(self.keys) else np.zeros(0, np.int64)
 
 
-def _first_in_block(block: X.Block, seeds: _Seeds, some: np.ndarray):
-    """Distinct prints of ``some`` seeds, the least id of each and a seed's index."""
-    keys, index = np.unique(seeds.print[some], return_inverse=True)
-    least = np.full(len(keys), X.NULL_ID, np.int64)
-    np.minimum.at(least, index, block.ids[seeds.doc[seeds.at[some]]])
-    return keys, least, index
+def _groups(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by print, id and place; where each print begins in it; each one's print, numbered."""
+    order = np.lexsort((places, ids, checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    index = np.empty(len(k), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), index
+
+
+class _First:
+    """A block's distinct prints among some seeds, with the least id and place of each."""
+
+    def __init__(self, block: X.Block, seeds: _Seeds, some: np.ndarray):
+        ids = block.ids[seeds.doc[seeds.at[some]]]
+        checks = seeds.checks(some)
+        order, first, self.index = _groups(seeds.print[some], checks, ids, seeds.place[some])
+        at = order[first]
+        self.keys, self.checks = seeds.print[some][at], checks[at]
+        self.ids, self.places = ids[at], seeds.place[some][at].astype(np.int32)
 
 
 def _first_reply(questions: list[X.Question]) -> list[bytes]:
-    """A bit for each print: no other block holds it in a document of smaller id."""
-    keys = [X.read_array(q["keys"], np.uint64) for q in questions]
-    ids = [X.read_array(q["ids"], np.int64) for q in questions]
-    k, d = np.concatenate(keys), np.concatenate(ids)
-    order, begin = T.group_sorted(k)
-    least = np.minimum.reduceat(d[order], begin) if len(k) else d
-    first = np.empty(len(k), bool)
-    first[order] = d[order] == np.repeat(least, np.diff(np.append(begin, len(k))))
-    return [X.pack_array(np.packbits(x)) for x in np.split(first, np.cumsum([len(x) for x in keys])[:-1])]
+    """Id and place at which each print stands first, in any block."""
+    keys, checks, ids, places = (
+        [X.read_array(q[name], kind) for q in questions] for name, kind in (("keys", np.uint64), ("checks", np.uint32), ("ids", np.int64), ("places", np.int32))
+    )
+    i, p = np.concatenate(ids), np.concatenate(places)
+    order, first, index = _groups(np.concatenate(keys), np.concatenate(checks), i, p)
+    i, p = i[order[first]][index], p[order[first]][index]
+    cuts = np.cumsum([len(x) for x in keys])[:-1]
+    return [X.pack_array(np.frombuffer(a.tobytes() + b.tobytes(), np.uint8)) for a, b in zip(np.split(i, cuts), np.split(p, cuts), strict=True)]
 
 
-def parse(block: X.Block, seeds: _Seeds, some: np.ndarray, first: np.ndarray, keys_of: tuple) -> np.ndarray:
-    """Which seeds of the block continue an earlier text.
+def _read_first(keys: np.ndarray, replies: dict[int, bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, places = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    for b, at in X.by_bucket(keys, n):
+        data = X.read_array(replies[b], np.uint8)
+        ids[at], places[at] = np.frombuffer(data[: 8 * len(at)].tobytes(), np.int64), np.frombuffer(data[8 * len(at) :].tobytes(), np.int32)
+    return ids, places
+
+
+def parse(block: X.Block, seeds: _Seeds, some: np.ndarray, first: _First, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The old seeds of a block, and the id and place of each one's reference.
 
     A seed is old when its words also start in a document of smaller id, in any
-    block, or earlier in the same row.
+    block, or earlier in the same row; it refers to the first such start.
     """
-    keys, least, index = keys_of
-    ids = block.ids[seeds.doc[seeds.at[some]]]
-    old = ~first[index] | (ids > least[index])
-    # Within one row the later of two equal seeds is old.
+    own = block.ids[seeds.doc[seeds.at[some]]]
+    ref_id, ref_place = ids[first.index], places[first.index]
+    old = ref_id < own
+    # Within one row the later of two equal seeds refers to the first.
     row = seeds.doc[seeds.at[some]]
-    order = np.lexsort((seeds.at[some], row, index))
-    same = (index[order][1:] == index[order][:-1]) & (row[order][1:] == row[order][:-1])
-    old[order[1:][same]] = True
-    out = np.zeros(len(seeds.at), bool)
-    out[some[old]] = True
-    return out
-
-
-def factors(block: X.Block, seeds: _Seeds, old: np.ndarray, size: int) -> np.ndarray:
-    """Greedy factors ``(document, first word, words)`` of at least ``size`` words.
-
-    A factor opens at the first old seed not yet behind it and grows while the
-    next seed is old too.  The seeds that straddle the end of one factor and the
-    text after it were looked up like all others, so a repeat that begins inside
-    a factor opens its own, and factors may overlap.
+    order = np.lexsort((seeds.at[some], row, first.index))
+    i, r = first.index[order], row[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (i[1:] != i[:-1]) | (r[1:] != r[:-1])
+    leader = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    later = np.zeros(len(order), bool)
+    later[order] = ~new
+    inside = later & ~old
+    lead = np.empty(len(order), np.int64)
+    lead[order] = leader
+    ref_id = np.where(inside, own, ref_id)
+    ref_place = np.where(inside, seeds.place[some][lead], ref_place)
+    old |= later
+    return some[old], ref_id[old], ref_place[old]
+
+
+def factors(block: X.Block, seeds: _Seeds, parsed: tuple[np.ndarray, np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """Factors ``(document, first word, words, reference id, reference's first word)``.
+
+    A factor of at least ``size`` words opens at an old seed that does not go on
+    with the one before, and grows while the next seed refers to the next word of
+    the same reference.  Seeds refer to the first start of their words, so a copy
+    of a copy is told from the original, and a factor ends where its reference
+    itself begins to repeat a still earlier text.  Factors may overlap: the seeds
+    across the end of one are in the next.
     """
+    old, ref_id, ref_place = parsed
     at = seeds.at[old]
     if not len(at):
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 5), np.int64)
     doc = seeds.doc[at]
-    opens = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])))
+    opens = np.ones(len(at), bool)
+    opens[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (ref_id[1:] != ref_id[:-1]) | (ref_place[1:] != ref_place[:-1] + 1)
     first = np.flatnonzero(opens)
     last = np.append(first[1:], len(at)) - 1
-    return np.stack([doc[first], at[first], at[last] - at[first] + size], axis=1)
+    return np.stack([doc[first], at[first], at[last] - at[first] + size, ref_id[first], ref_place[first]], axis=1)
 
 
 def _exchanges(docs: DataFrame, size: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
@@ -113,50 +165,51 @@ def _exchanges(docs: DataFrame, size: int, id_col: str, text_col: str, carry: tu
 
     def ask_prints(block: X.Block, answers: dict, n: int) -> Iterator[tuple[int, X.Question]]:
         seeds = _Seeds(block, size)
-        keys, least, _ = _first_in_block(block, seeds, seeds.candidates(answers["anchors"], n))
-        for b, at in X.by_bucket(keys, n):
-            yield b, {"keys": X.pack_array(keys[at]), "ids": X.pack_array(least[at])}
+        first = _First(block, seeds, seeds.candidates(answers["anchors"], n))
+        for b, at in X.by_bucket(first.keys, n):
+            yield b, {"keys": X.pack_array(first.keys[at]), "checks": X.pack_array(first.checks[at]), "ids": X.pack_array(first.ids[at]), "places": X.pack_array(first.places[at])}
 
     anchors = X.answer(X.ask(found, ask_anchors, ("keys",), n), X.repeated_keys_reply, ("keys",))
     with_anchors = X.returned(found, anchors, "anchors")
-    prints = X.answer(X.ask(with_anchors, ask_prints, ("keys", "ids"), n), _first_reply, ("keys", "ids"))
+    fields = ("keys", "checks", "ids", "places")
+    prints = X.answer(X.ask(with_anchors, ask_prints, fields, n), _first_reply, fields)
     return X.returned(with_anchors, prints, "prints"), n
 
 
-def _old_seeds(block: X.Block, answers: dict, size: int, n: int) -> tuple[_Seeds, np.ndarray]:
+def _parsed(block: X.Block, answers: dict, size: int, n: int) -> tuple[_Seeds, tuple]:
     seeds = _Seeds(block, size)
     some = seeds.candidates(answers["anchors"], n)
-    keys_of = _first_in_block(block, seeds, some)
-    return seeds, parse(block, seeds, some, X.read_flags(keys_of[0], answers["prints"], n), keys_of)
+    first = _First(block, seeds, some)
+    return seeds, parse(block, seeds, some, first, *_read_first(first.keys, answers["prints"], n))
 
 
 def duplicate_factors(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, first_word, n_words)`` of every factor of ``size`` words or more.
+    """``(doc_id, first_word, n_words, ref_doc_id, ref_first_word)`` of every factor of ``size`` words or more.
 
-    See :func:`remove_repeats` for what counts as a repeat.
+    The words of a factor stand in the referred document from ``ref_first_word``
+    on.  See :func:`remove_repeats` for what counts as a repeat.
     """
     found, n = _exchanges(docs, size, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, row in X.unpack(batch):
-                seeds, old = _old_seeds(block, X.answers_of(batch, row), size, n)
-                got = factors(block, seeds, old, size)
+                seeds, parsed = _parsed(block, X.answers_of(batch, row), size, n)
+                got = factors(block, seeds, parsed, size)
                 first_word = np.searchsorted(seeds.doc, np.arange(len(block)))
                 ids = block.ids[got[:, 0]]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array(ids, pa.int64(), mask=ids == X.NULL_ID), "first_word": got[:, 1] - first_word[got[:, 0]], "n_words": got[:, 2]}
-                )
+                out = {"doc_id": pa.array(ids, pa.int64(), mask=ids == X.NULL_ID), "first_word": got[:, 1] - first_word[got[:, 0]], "n_words": got[:, 2]}
+                yield pa.RecordBatch.from_pydict(out | {"ref_doc_id": pa.array(got[:, 3], pa.int64(), mask=got[:, 3] == X.NULL_ID), "ref_first_word": got[:, 4]})
 
-    return found.mapInArrow(run, "doc_id long, first_word long, n_words long")
+    return found.mapInArrow(run, "doc_id long, first_word long, n_words long, ref_doc_id long, ref_first_word long")
 
 
-def _cleaned(block: X.Block, seeds: _Seeds, old: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+def _cleaned(block: X.Block, seeds: _Seeds, parsed: tuple, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
     """Words and removed words of each document; its kept words joined; its text."""
     change = np.zeros(len(seeds.begin) + 1, np.int64)
-    for _, first, length in factors(block, seeds, old, size):
-        change[first] += 1
-        change[first + length] -= 1
+    got = factors(block, seeds, parsed, size)
+    np.add.at(change, got[:, 1], 1)
+    np.add.at(change, got[:, 1] + got[:, 2], -1)
     gone = np.cumsum(change[:-1]) > 0
     bounds = np.searchsorted(seeds.doc, np.arange(len(block) + 1))
     total = np.concatenate(([0], np.cumsum(gone)))
@@ -183,18 +236,19 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
     row.  ``kept_sha256`` digests the words left, joined by a space.
 
     Blocks first exchange the smallest ten-word hash of each window; only
-    windows whose anchor is met again send their own fingerprint, with the least
-    id in the block.  Fingerprints have 64 bits.
+    windows whose anchor is met again send their own print of 96 bits, with the
+    least id and place in the block, and learn where it stands first of all.
 
     Null texts have no words.  Rows that repeat an id are separate documents of
-    which neither is earlier; a null id is larger than any other.
+    which neither is earlier; a null id is larger than any other.  A long text is
+    a block of its own and parsed whole.  An empty table gives an empty result.
     """
     found, n = _exchanges(docs, size, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, row in X.unpack(batch):
-                n_words, n_removed, joined, _ = _cleaned(block, *_old_seeds(block, X.answers_of(batch, row), size, n), size)
+                n_words, n_removed, joined, _ = _cleaned(block, *_parsed(block, X.answers_of(batch, row), size, n), size)
                 digests = [hashlib.sha256(k).hexdigest() for k in joined]
                 yield pa.RecordBatch.from_pydict({"doc_id": block.out_ids(), "n_words": n_words, "n_removed": n_removed, "kept_sha256": digests})
 
@@ -216,7 +270,7 @@ def without_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, row in X.unpack(batch):
-                n_words, n_removed, _, texts = _cleaned(block, *_old_seeds(block, X.answers_of(batch, row), size, n), size)
+                n_words, n_removed, _, texts = _cleaned(block, *_parsed(block, X.answers_of(batch, row), size, n), size)
                 rest = block.rest()
                 texts = pa.array(texts, pa.binary(), mask=rest.column(none).to_numpy(zero_copy_only=False).astype(bool)).cast(pa.string())
                 table = pa.table({f: texts if f == text_col else rest.column(f) for f in schema.names})
