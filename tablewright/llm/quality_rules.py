@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm._spark import WORD, durable
+from tablewright.llm._spark import WORD, durable, written
 
 #: Ratios a rule may reject by when they exceed a cutoff: SQL over the metrics.
 RATIOS = {
@@ -14,6 +14,8 @@ RATIOS = {
     "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
     "shout_ratio": "n_exclaims / greatest(n_words, 1)",
 }
+#: A whole input row, carried beside its counts.
+_ROW = "whole_row"
 #: Candidate cutoffs of every ratio, fixed before any label is seen.
 CUTOFFS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7)
 
@@ -156,13 +158,12 @@ def keep_quality(
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`judge_quality` keeps, columns unchanged.
 
-    Texts are counted twice, for the cutoffs and for the verdict, so that they
-    are never shuffled.
+    Texts are counted once and written beside their counts; choosing cutoffs
+    reads the counts' columns alone, and the verdict is a filter on the written
+    rows, so texts are never shuffled.  Nulls, ties and empty tables as there.
     """
-    counted = text_metrics(_stratified(docs.select(id_col, text_col, *([stratum_col] if stratum_col in docs.columns else [])), stratum_col), id_col, text_col, ("stratum",))
-    wide = _wide_cutoffs(durable(_with_ratios(counted)), labels, risk, confidence_error)
-    rows = docs.select(id_col, text_col, F.struct("*").alias("row"), *([stratum_col] if stratum_col in docs.columns else []))
-    metrics = _with_ratios(text_metrics(_stratified(rows, stratum_col), id_col, text_col, ("stratum", "row")))
-    # A column that no filter may be pushed below, else the counts are made anew inside it.
-    fenced = metrics.withColumn("fence", F.monotonically_increasing_id())
-    return _judged(fenced, wide).where("kept and fence >= 0").select("row.*")
+    stratum = (stratum_col,) if stratum_col in docs.columns else ()
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *[F.col(f"`{c}`") for c in stratum], F.struct("*").alias(_ROW))
+    counted = written(_with_ratios(text_metrics(_stratified(rows, stratum_col), id_col, text_col, ("stratum", _ROW))))
+    wide = _wide_cutoffs(counted.drop(_ROW), labels, risk, confidence_error)
+    return _judged(counted, wide).where("kept").select(*[F.col(f"{_ROW}.`{c}`").alias(c) for c in docs.columns])
