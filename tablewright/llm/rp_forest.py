@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from tablewright.llm._spark import durable
 from tablewright.llm.components import connected_components
 
-#: Trees, aimed leaf size, overlap of a split (in cosine units), rows of the fit.
-TREES, LEAF, SPILL, SAMPLE = 10, 1024, 0.02, 16_384
+#: Trees, aimed leaf size, rows of the fit.
+TREES, LEAF, SAMPLE = 10, 1024, 16_384
+#: Overlap of a split in deviations of a random unit vector's projection, which
+#: are one over the root of the dimension: about an eighth of a node's vectors
+#: lie that near its split point and go both ways, whatever the dimension, so a
+#: level leaves ``SHRINK`` of a node to each side.
+SPILL, SHRINK = 0.16, 0.565
 #: Rows that one task compares with as many others.
 TILE = 4096
 
@@ -34,8 +39,9 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.depth, self.trees, self.spill = depth, trees, spill
+        self.depth, self.trees = depth, trees
         d = sample.shape[1] if sample.size else 1
+        self.spill = spill / np.sqrt(d)
         directions = rng.standard_normal((trees, depth, d))
         self.directions = directions / np.linalg.norm(directions, axis=2, keepdims=True)
         self.nodes: list[list[np.ndarray]] = []
@@ -156,7 +162,7 @@ def near_vectors(
         .withColumn("node", F.monotonically_increasing_id())
     )
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth = max(0, int(np.ceil(np.log2(max(1, largest) / leaf_rows))))
+    depth = max(0, int(np.ceil(np.log(max(1, largest) / leaf_rows) / -np.log(SHRINK))))
     drawn = nodes.select("node", "embedding").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow().column(0).to_pylist()
     sizes = [len(x) for x in drawn]
     dimension = max(set(sizes), key=sizes.count) if sizes else 1
