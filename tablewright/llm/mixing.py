@@ -122,7 +122,8 @@ def _parts(laid: DataFrame, targets: DataFrame, most: float, block: int) -> Data
         .select("row", "ordinal", "lap", "from", "to", F.explode(F.expr(f"sequence(from div {block}, (to - 1) div {block})")).alias("rank"))
         .withColumn("words", F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block))
     )
-    return pieces.join(slot_schedule(targets, block), ["ordinal", "rank"]).select("row", "lap", "from", "rank", "slot", "words")
+    # Both sides grow with the documents: sorted and merged, never broadcast.
+    return pieces.join(slot_schedule(targets, block).hint("merge"), ["ordinal", "rank"]).select("row", "lap", "from", "rank", "slot", "words")
 
 
 def mix_sources(
@@ -153,7 +154,7 @@ def mix_sources(
     row = free_name(docs, "row")
     laid, targets = _laid(docs.withColumn(row, F.monotonically_increasing_id()), row, weights, share, most, seed, id_col, text_col, source_col)
     taken = _parts(laid, targets, most, block).groupBy("row").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot"))
-    return laid.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot")
+    return laid.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot")
 
 
 def mixed_documents(
@@ -181,10 +182,10 @@ def mixed_documents(
     parts = _parts(laid, targets, most, block).groupBy("row", "lap").agg(F.sum("words").alias("words"), F.min_by("slot", "rank").alias("slot"))
     times = parts.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("lap", "slot"))).alias("laps"))  # at most ``most`` laps
     copies = (
-        times.join(laid.select("row", "size"), "row")
+        times.join(laid.select("row", "size").hint("merge"), "row")
         .withColumn("laps", F.slice("laps", 1, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")))
         .select(F.col("row").alias(row), F.explode("laps").alias("lap"))
     )
     number, slot = free_name(docs, "copy_number"), free_name(docs, "copy_slot")
     copies = copies.select(row, F.col("lap.lap").alias(number), F.col("lap.slot").alias(slot))
-    return keyed.join(copies, row).repartitionByRange(F.col(slot), F.col(row)).sortWithinPartitions(slot, row, number).select(docs.columns)
+    return keyed.join(copies.hint("merge"), row).repartitionByRange(F.col(slot), F.col(row)).sortWithinPartitions(slot, row, number).select(docs.columns)
