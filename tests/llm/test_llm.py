@@ -96,6 +96,18 @@ def test_cutoffs_hold_their_risk(spark):
     assert {r["rule"]: r["cutoff"] for r in cut}["symbol_ratio"] == 0.02
 
 
+def test_certified_rules_reject(spark):
+    """Enough labelled good documents certify cutoffs; what passes them by far goes, in its own stratum only."""
+    plain = [(j, f"doc {j} " + " ".join(f"w{j}x{i}" for i in range(12)), "en") for j in range(2000)]
+    shouts = [(5000 + j, "buy ### now $$$ " + " ".join(f"s{j}y{i}" for i in range(12)) + " !!!", ["en", "xx"][j % 2]) for j in range(10)]
+    docs = spark.createDataFrame(plain + shouts, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(j, 1, 0) for j in range(2000)], "doc_id long, quality int, toxic int")
+    got = by_id(quality_rules.judge_quality(docs, labels))
+    assert all(got[j]["kept"] for j in range(2000))
+    assert all(got[5000 + j]["kept"] == (j % 2 == 1) and ("symbol_ratio" in got[5000 + j]["rules_hit"]) == (j % 2 == 0) for j in range(10))
+    assert {r["doc_id"] for r in quality_rules.keep_quality(docs, labels).collect()} == {j for j in got if got[j]["kept"]}
+
+
 def test_rlz(docs):
     got, seen = by_id(rlz_dedup.remove_repeats(docs)), set()
     for j, t in enumerate(TEXTS):
@@ -109,7 +121,13 @@ def test_rlz(docs):
         assert tuple(got[j])[1:] == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), j
     cleaned = rlz_dedup.without_repeats(docs)
     assert cleaned.columns == docs.columns and {r["doc_id"] for r in cleaned.collect()} == {j for j in got if not got[j]["n_words"] or got[j]["n_removed"] < got[j]["n_words"]}
-    assert rlz_dedup.duplicate_factors(docs).where("n_words < 20").count() == 0
+    covered = collections.defaultdict(set)
+    for r in rlz_dedup.duplicate_factors(docs).collect():
+        own, ref = (WORD.findall(TEXTS[r[c]] or "") for c in ("doc_id", "ref_doc_id"))
+        assert r["n_words"] >= 20 and (r["ref_doc_id"], r["ref_first_word"]) < (r["doc_id"], r["first_word"])
+        assert own[r["first_word"] : r["first_word"] + r["n_words"]] == ref[r["ref_first_word"] : r["ref_first_word"] + r["n_words"]]
+        covered[r["doc_id"]] |= set(range(r["first_word"], r["first_word"] + r["n_words"]))
+    assert {j: len(c) for j, c in covered.items()} == {j: got[j]["n_removed"] for j in got if got[j]["n_removed"]}
 
 
 def test_rlz_repeated_rows(spark):
@@ -342,6 +360,17 @@ def test_vectors(spark):
     assert got[240]["component_id"] == 0 and got[247]["component_id"] == 246 and got[241]["n_links"] == got[242]["n_links"] == got[245]["n_links"] == 0
 
 
+def test_deep_forest_recall(spark):
+    """Eight levels and more over 64 dimensions: recall of links against brute force."""
+    rng = np.random.default_rng(2)
+    centers = rng.standard_normal((700, 64))
+    x = centers[rng.integers(0, 700, 2500)] + 0.2 * rng.standard_normal((2500, 64))
+    got = {r["vec_id"]: r["n_links"] for r in rp_forest.near_vectors(spark.createDataFrame([(j, v.tolist(), 0) for j, v in enumerate(x)], "vec_id long, embedding array<double>, label int"), leaf_rows=24).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert links.sum() > 1000 and sum(got.values()) >= 0.97 * links.sum() and all(got[j] <= links[j] for j in range(2500))
+
+
 def test_licenses(docs):
     got = by_id(license_scan.scan_licenses(docs))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
