@@ -195,7 +195,11 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     Blocks send each bucket their distinct grams or words with training counts
     and get back log probabilities or corpus counts, in the same order.  Null
     texts are empty: one end token, score 0 and null bits per byte.  Repeated
-    rows count and are scored like any other.
+    rows count and are scored like any other.  A long text is a block of its own
+    and is scored whole.  Equal counts are no ties: nothing is ranked.  Without
+    training text every bit has probability one half.  An empty table gives an
+    empty result.  Log probabilities of single bytes travel as 32-bit floats and
+    are summed in double precision.
     """
     found = X.blocks(docs, id_col, text_col)
     n = X.buckets(docs)

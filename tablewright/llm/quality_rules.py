@@ -144,6 +144,9 @@ def judge_quality(
     every label row of the document.  The counts are written once to the shared
     folder; choosing cutoffs and judging read that narrow table.
 
+    Of several certified cutoffs the least counts; a ratio equal to a cutoff
+    does not exceed it.  Long texts are counted whole.
+
     Null text counts as empty.  A null stratum is a stratum.  Null ids get a
     verdict but match no label.  Repeated rows are judged separately.  No labels
     or an empty table are fine.

@@ -147,7 +147,8 @@ def near_vectors(
 
     Vectors that are null, empty, zero, or hold a null or non-finite component
     link with nothing, as do those with a null label.  A repeated id counts row
-    by row; a component's id is its least non-null id.
+    by row; a component's id is its least non-null id.  Rows of equal hash are
+    drawn for the fit by their number.  An empty table gives an empty result.
     """
     name = lambda c: F.col(f"`{c}`")
     slim = vectors.select(name(id_col).alias("vec_id"), name(label_col).alias("label"), name(vector_col).cast("array<double>").alias("embedding"))

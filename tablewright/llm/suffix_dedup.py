@@ -219,7 +219,8 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 50, id_col: str = "doc_id
 
     ``kept`` (binary) are the bytes left.  Null texts are empty.  Rows that
     repeat an id are separate documents of which neither is earlier; a null id
-    is larger than any other.
+    is larger than any other.  A long text is a block of its own.  An empty
+    table gives an empty result.
     """
     found = X.blocks(docs, id_col, text_col)
     n = X.buckets(docs)

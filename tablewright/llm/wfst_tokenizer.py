@@ -253,7 +253,10 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL_FILE, id_col: str
     ids) and ``round_trip`` (decoding the ids gives the text back, U+2581 read
     as the blank it stands for).  The model file is read on the driver.
 
-    Null text is empty and has no ids.  Repeated rows are encoded each.
+    Null text is empty and has no ids.  Repeated rows and equal ids are encoded
+    each, a null id stays null.  A long text is encoded whole: it is cut only
+    where no piece joins two characters.  Of paths of one weight the one whose
+    last piece has the least id wins.  An empty table gives an empty result.
     """
     model = Model(model_file)
 
