@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import _exchange as X
@@ -258,13 +258,13 @@ def _verify(least: float):
 
 
 def _first_meeting(left: np.ndarray, right: np.ndarray, sketches: np.ndarray, group: int) -> np.ndarray:
-    """Which pairs share no sketch before that of this group (or none at all)."""
+    """Which pairs share no sketch before that of this group (or none at all), told by the sketches' upper halves."""
     ok = np.ones(len(left), bool)
     for low in range(0, len(left), 1 << 15):
         a, b = left[low : low + (1 << 15)], right[low : low + (1 << 15)]
         same = sketches[a] == sketches[b]
         first = same.argmax(axis=1)
-        ok[low : low + len(a)] = ~same.any(axis=1) | (sketches[a, first] == group)
+        ok[low : low + len(a)] = ~same.any(axis=1) | (sketches[a, first] == group >> 32)
     return ok
 
 
@@ -374,6 +374,10 @@ def _crossing(least: float):
     return run
 
 
+def _upper_half(key: Column) -> Column:
+    return F.shiftright(key, 32).cast("int")
+
+
 # --- the whole --------------------------------------------------------------
 
 
@@ -392,7 +396,8 @@ def _classes(keyed: DataFrame, row: str, least: float, id_col: str, text_col: st
     each = classes.select("node", F.explode("keys").alias("sketch"))
     groups = each.groupBy("sketch").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub"), F.max("node").alias("far")).where("members > 1")
     met = durable(each.join(groups, "sketch"))
-    traits = classes.where("bag is not null").select("node", "n_words", "bag", F.slice("keys", 1, SKETCHES).alias("sketches"))
+    upper = F.transform(F.slice("keys", 1, SKETCHES), _upper_half)
+    traits = classes.where("bag is not null").select("node", "n_words", "bag", upper.alias("sketches"))
     texts = slim.withColumnRenamed("row", "node")
 
     def both(pairs: DataFrame, frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -478,7 +483,7 @@ def _between_components(met: DataFrame, parts: DataFrame, traits: DataFrame, tex
         counts.groupBy(*key)
         .agg(F.sum("n").alias("members"), F.max("any").alias("any"), F.max(F.struct("n", "component")).alias("largest"))
         .where("any and members > largest.n")
-        .select(*key, F.col("largest.component").alias("main"), tiles(F.col("members") - F.col("largest.n")).alias("askers"), tiles(F.col("members")).alias("asked"))
+        .select(*key, "members", F.col("largest.n").alias("most"), F.col("largest.component").alias("main"), tiles(F.col("members") - F.col("largest.n")).alias("askers"), tiles(F.col("members")).alias("asked"))
     )
     placed = sides.join(sizes, key)
     tile = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -486,10 +491,10 @@ def _between_components(met: DataFrame, parts: DataFrame, traits: DataFrame, tex
     asking = placed.where("component <> main").withColumns({"asks": F.lit(True), "first_tile": tile(F.col("askers"))}).withColumn("second_tile", every(F.col("asked")))
     asked = placed.withColumns({"asks": F.lit(False), "second_tile": tile(F.col("asked"))}).withColumn("first_tile", every(F.col("askers")))
     columns = [*_MEMBER, "bag", "sketches"]
-    units = durable(asking.select(columns).unionByName(asked.select(columns)))
-    n_parts = max(1, -(-units.count() // TASK_ROWS)) * 4
-    dealt = units.withColumn("part", F.pmod(F.xxhash64("sketch", "length_class", "first_tile", "second_tile"), F.lit(n_parts)).cast("long"))
-    member = "part long, sketch long, length_class int, first_tile int, second_tile int, asks boolean, own boolean, node long, component long, n_words long, bag binary, sketches array<long>"
+    rows = sizes.agg(F.sum((F.col("members") - F.col("most")) * F.col("asked") + F.col("members") * F.col("askers"))).first()[0] or 0
+    n_parts = max(1, -(-rows // TASK_ROWS)) * 4
+    dealt = asking.select(columns).unionByName(asked.select(columns)).withColumn("part", F.pmod(F.xxhash64("sketch", "length_class", "first_tile", "second_tile"), F.lit(n_parts)).cast("long"))
+    member = "part long, sketch long, length_class int, first_tile int, second_tile int, asks boolean, own boolean, node long, component long, n_words long, bag binary, sketches array<int>"
     # Counts given by hand: small rows, but much work in each part.
     flagged = durable(dealt.repartition(n_parts, "part").groupBy("part").applyInArrow(_flagged(least), member))
     whole = flagged.join(texts, "node").repartition(n_parts, "part")
