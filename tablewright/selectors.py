@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.types import classify, is_numeric, missing, no_nan
+from tablewright.types import classify, is_numeric, missing, no_nan, quoted
 
 
 class Selector:
@@ -118,6 +118,19 @@ class Statistic(Selector):
         return {f.name for j, f in enumerate(fields) if self.test(row[f"c{j}"], row["n"])}
 
 
+class Distinct(Selector):
+    """Selects by the number of distinct values, nulls aside; all columns in one stacked count."""
+
+    def __init__(self, test: Callable[[int], bool]):
+        self.test = test
+
+    def matches(self, df):
+        from tablewright.stats import distinct_counts
+
+        values = {f.name: F.to_json(quoted(f.name)) if classify(f) == "nested" else no_nan(f) for f in df.schema if not isinstance(f.dataType, T.MapType)}
+        return {name for name, n in distinct_counts(df, values).items() if self.test(n)}
+
+
 def make_selector(obj) -> Selector:
     """A selector from a selector, a name or names."""
     if isinstance(obj, Selector):
@@ -204,7 +217,7 @@ def any_of(values) -> bool:
 
 def cardinality_below(threshold: int) -> Selector:
     """Fewer than ``threshold`` distinct values, nulls aside."""
-    return Statistic(lambda f: F.count_distinct(no_nan(f)), lambda n, _: n < threshold, lambda f: not isinstance(f.dataType, T.MapType))
+    return Distinct(lambda n: n < threshold)
 
 
 def has_nulls(proportion: float | int = 0) -> Selector:
@@ -222,8 +235,6 @@ def has_nulls(proportion: float | int = 0) -> Selector:
 
 
 def select(df: DataFrame, selector) -> DataFrame:
-    from tablewright.types import quoted
-
     return df.select(*[quoted(c) for c in make_selector(selector).expand(df)])
 
 
