@@ -474,7 +474,7 @@ def histogram_of_lengths(t):
     return _rounded(robust_histogram(t("documents"), "n_chars"))
 
 
-@query("select * from (values (90000.0, 'day'), (86400.0, 'day'), (3700.0, 'hour'), (75.0, 'minute'), (2.0, 'second'), (0.5, 'millisecond'), (0.0000001, 'microsecond')) v(seconds, unit)")
+@query("select seconds::double seconds, unit from (values (90000.0, 'day'), (86400.0, 'day'), (3700.0, 'hour'), (75.0, 'minute'), (2.0, 'second'), (0.5, 'millisecond'), (0.0000001, 'microsecond')) v(seconds, unit)")
 def duration_units(t):
     return _frame(t, [(x, duration_unit(x)) for x in (90000.0, 86400.0, 3700.0, 75.0, 2.0, 0.5, 0.0000001)], "seconds double, unit string")
 
