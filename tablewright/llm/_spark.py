@@ -25,6 +25,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables(spark: SparkSession) -> set[str]:
+    """Paths of the tables and checkpoints in the session's shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {f.getPath().toString() for f in system.listStatus(where)} if system.exists(where) else set()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store that no plan reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
