@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm._spark import remove, shared_folder
+from tablewright.llm._spark import remove, shared_folder, tables
 from tablewright.llm.mixing import mixed_documents
 from tablewright.llm.order_minhash import one_of_each
 from tablewright.llm.quality_rules import keep_quality
@@ -54,14 +54,19 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is a table in the shared folder.
 
-    A stage's table goes once the next one's is complete; the last one's input
-    stays, since the result is lazy.
+    What a stage wrote on its way goes once its own table is complete, and that
+    table once the next one's is; the last one's input stays, since the result
+    is lazy.  No other query of the session may run meanwhile.
     """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.schema(docs.schema).parquet(path)
+        known = tables(spark)
+        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        docs = spark.read.schema(docs.schema).parquet(f"{path}/{name}")
+        for old in tables(spark) - known:
+            if path.rsplit("/", 1)[-1] not in old:
+                remove(spark, old)
         if before is not None:
             remove(spark, before)
         before = path
