@@ -10,12 +10,30 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a file's and of a row's part in a row number, and ways to deal files numbers.
+FILE_BITS, ROW_BITS, SALTS = 30, 33, 4
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage."""
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    The shuffle files it was made from go at once, not when the driver happens
+    to collect its garbage.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _drop_shuffles(df)
+    return out
+
+
+def _drop_shuffles(df: DataFrame) -> None:
+    """Delete the shuffle files of ``df``'s own plan; run again, it makes them anew."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec":
+        return  # left to the driver's garbage collection
+    store = df.sparkSession.sparkContext._jsc.sc().shuffleDriverComponents()
+    for shuffle in list(plan.context().shuffleIds().keySet()):
+        store.removeShuffle(shuffle, False)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -41,12 +59,34 @@ def remove(spark: SparkSession, path: str) -> None:
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a row number ``name`` that later reads of it agree on.
 
-    Numbers come from partitions, so the numbered table is written first: a lost
+    A row of Parquet files is known by its file and its place there, so nothing
+    is written; files are told apart by a hash that is seen to differ for all.
+    Other tables get numbers from their partitions and are written first: a lost
     executor rereads the numbers, it never deals them anew.
     """
+    if _is_parquet_scan(df):
+        place = df.metadataColumn("_metadata")
+        path = place.getField("file_path")
+        hashed = [F.pmod(F.xxhash64(path, F.lit(salt)), F.lit(1 << FILE_BITS)) for salt in range(SALTS)]
+        files = df.select(path.alias("path"), *[h.alias(f"h{salt}") for salt, h in enumerate(hashed)]).distinct()
+        n, *apart = files.agg(F.count(F.lit(1)), *[F.count_distinct(f"h{salt}") for salt in range(SALTS)]).first()
+        if n in apart:
+            return df.withColumn(name, F.shiftleft(hashed[apart.index(n)], ROW_BITS) + place.getField("row_index"))
     return written(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def _is_parquet_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of Parquet files, filtered or projected in a fixed way at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic() or plan.isStreaming():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
