@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import mixing, order_minhash
+from tablewright.llm import mixing, order_minhash, quality_rules
 from tablewright.llm._spark import durable, numbered, tables
 
 
@@ -62,3 +62,14 @@ def test_stages_leave_no_copy_of_the_texts(spark, path):
     assert one.columns == docs.columns and one.count() == sum(r["kept"] for r in order_minhash.near_duplicates(docs).collect())
     assert mixing.mixed_documents(docs).columns == docs.columns
     assert not [t for t in tables(spark) - known if "/table-" in t]
+
+
+def test_quality_leaves_no_copy_and_joins_by_no_stratum(spark, path):
+    docs, labels = spark.read.parquet(path), spark.createDataFrame([(j, 1) for j in range(30)], "doc_id long, quality int")
+    known = tables(spark)
+    kept = quality_rules.keep_quality(docs, labels)
+    assert not [t for t in tables(spark) - known if "/table-" in t]
+    judged = quality_rules.judge_quality(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == judged.where("kept").count()
+    for out in (kept, judged):
+        assert "hashpartitioning(stratum" not in out._jdf.queryExecution().executedPlan().toString()
