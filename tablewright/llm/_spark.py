@@ -84,7 +84,10 @@ def _is_parquet_scan(df: DataFrame) -> bool:
         plan = plan.child()
     if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
         return False
-    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+    if plan.relation().fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return False
+    # A path given twice is read twice; the frame names each of its files once.
+    return len(plan.relation().location().inputFiles()) == len(df._jdf.inputFiles())
 
 
 def free_name(df: DataFrame, name: str) -> str:

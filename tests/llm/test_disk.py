@@ -52,6 +52,9 @@ def test_rows_that_files_do_not_tell_apart(spark, path):
     for made in (docs.union(docs), docs.select("*", twice), docs.crossJoin(spark.range(2)), docs.sample(True, 2.0, 5)):
         rows = numbered(made, "row")
         assert rows.count() == rows.select("row").distinct().count() == made.count()
+    part = glob.glob(f"{path}/part-*.parquet")[0]
+    for made in (spark.read.parquet(path, path), spark.read.parquet(part, part), spark.read.parquet(part, *glob.glob(f"{path}/part-*.parquet"))):
+        assert numbered(made, "row").select("row").distinct().count() == made.count()
     named = numbered(docs.withColumn("_metadata", F.lit("own")), "row")
     assert named.select("row").distinct().count() == 60 and {r["_metadata"] for r in named.collect()} == {"own"}
 
