@@ -102,6 +102,55 @@ class _Index:
         return (self.numbers[at], *self.vectors[at], self.filled[at])
 
 
+class _Line:
+    """Auxiliary rows by their one number, and the first ``keep`` rows of each number.
+
+    Distances are differences of the numbers as they stand, so equal ones tie and
+    others do not; the nearest rows stand beside a number in sorted order.
+    """
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, keep: int):
+        order = np.lexsort((ids, values))
+        ids, values = ids[order], values[order]
+        starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
+        kept = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values)))) < keep
+        self.ids, self.values, self.keep = ids[kept], values[kept], keep
+
+    def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, numbers and distances of the ``k`` (at most ``keep``) nearest rows of each number, ties by id; the distance is NaN where there is none."""
+        parts = [self._nearest(x[low : low + 10_000], k) for low in range(0, max(1, len(x)), 10_000)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+    def _nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.ids)
+        if not n:
+            return np.full((len(x), k), -1), np.full((len(x), k), np.nan), np.full((len(x), k), np.nan)
+        # Below, whole numbers until k rows are together: at most k - 1 rows and those of one number more.
+        below = k - 1 + self.keep
+        pos = np.searchsorted(self.values, x)
+        at = pos[:, None] + np.arange(-below, k)
+        held = (at >= 0) & (at < n)
+        at = np.clip(at, 0, n - 1)
+        d = np.where(held, _apart(self.values[at], x[:, None]), np.inf)
+        ids = np.where(held, self.ids[at], np.iinfo(np.int64).max)
+        best = np.lexsort((ids, d))[:, :k]
+        at, d, held = (np.take_along_axis(a, best, 1) for a in (at, d, held))
+        # Far numbers whose distances a double does not tell from the k-th.
+        low, high = pos - below - 1, np.searchsorted(self.values, self.values[np.minimum(pos + k, n) - 1], "right")
+        tied = (low >= 0) & (_apart(self.values[np.maximum(low, 0)], x) <= d[:, -1])
+        tied |= (high < n) & (_apart(self.values[np.minimum(high, n - 1)], x) <= d[:, -1])
+        for i in np.flatnonzero(tied).tolist():
+            every = _apart(self.values, x[i])
+            at[i] = np.lexsort((self.ids, every))[:k]
+            d[i] = every[at[i]]
+        return self.ids[at], self.values[at], np.where(held, d, np.nan)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return np.where(a == b, 0.0, np.abs(a - b))
+
+
 class _Weights:
     """TF-IDF weights, of norm 1 within each key, of hashed grams that the auxiliary table knows."""
 
@@ -136,10 +185,11 @@ class Joiner:
     count for nothing; a missing number counts as the mean.
 
     Up to ``BROADCAST_ROWS`` auxiliary rows are one index that every task holds:
-    a transform is a projection and a join of the matched rows.  Beyond, string
-    keys meet through a join on their grams, rare ones first (see
-    :meth:`_joined`), and other keys compare blocks of main rows with blocks of
-    auxiliary rows; both are exact, at any size.
+    a transform is a projection and a join of the matched rows.  Beyond, a single
+    number or time is looked up in its stretch of the sorted auxiliary rows (see
+    :meth:`_stretched`), string keys meet through a join on their grams, rare
+    ones first (see :meth:`_joined`), and other keys compare blocks of main rows
+    with blocks of auxiliary rows; all are exact, at any size.
 
     A match counts when its distance over a reference distance (``ref_dist``, a
     name in ``REFERENCES`` or one of the reference classes) is at most
@@ -175,6 +225,10 @@ class Joiner:
         rescaled = not isinstance(self.reference, NoRescaling)
         self.scales_ = {c: ((v[0] or 0.0), (v[1] or 1.0)) if rescaled else (0.0, 1.0) for c, v in stats.items()}
         self.small_ = self.n_ <= BROADCAST_ROWS
+        self.line_ = len(self.kinds_) == 1 and self.kinds_[0] != "string"
+        if self.line_:
+            self._fit_line()
+            return self
         vectors = self._vectors(self.aux_, self.aux_keys_, "__aux")
         if self.small_:
             rows = vectors.orderBy("__aux").collect()  # at most BROADCAST_ROWS
@@ -189,6 +243,28 @@ class Joiner:
         self.reference_ = self._random_reference() if isinstance(self.reference, RandomPairs) else None
         return self
 
+    def _fit_line(self) -> None:
+        reference = self.reference
+        self.k_ = reference.reference_neighbor + 1 if isinstance(reference, OtherNeighbor) else 1
+        self.keep_ = reference.reference_neighbor + 1 if isinstance(reference, (OtherNeighbor, SelfJoinNeighbor)) else 1
+        rows = self.aux_.select("__aux", self._place(self.aux_, self.aux_keys_[0]).alias("place"))
+        if self.small_:
+            held = rows.toPandas()  # at most BROADCAST_ROWS
+            self.index_ = _Line(held["__aux"].to_numpy(np.int64), held["place"].to_numpy(float), self.keep_)
+        else:
+            first = Window.partitionBy("place").orderBy("__aux")
+            self.places_ = durable(rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= self.keep_).select("__aux", "place"))
+        self.reference_ = None
+        if isinstance(reference, RandomPairs):
+            some = held.sort_values("__aux") if self.small_ else rows.orderBy(F.xxhash64("__aux"), "__aux").limit(4 * reference.n_sampled_pairs).toPandas().sort_values("__aux")
+            left, right = self._random_pairs(len(some))
+            x = some["place"].to_numpy(float) / self.scales_[self.aux_keys_[0]][1]
+            self.reference_ = float(np.percentile(_apart(x[left], x[right]), reference.percentile))
+
+    def _place(self, df: DataFrame, column: str) -> Column:
+        """The only key as a number, the mean where it is missing."""
+        return F.coalesce(self._number(df, column, self.kinds_[0]), F.lit(float(self.scales_[self.aux_keys_[0]][0])))
+
     def _indexed(self, ids, numbers, weighted) -> _Index:
         width = sum(k != "string" for k in self.kinds_)
         matrix = np.array(numbers, float).reshape(len(ids), width)
@@ -223,13 +299,16 @@ class Joiner:
         lists = raw.withColumn("w", F.col("w") / norm).groupBy(row).agg(F.count_distinct("key").alias("filled"), F.collect_list(F.struct("gram", "w", "df")).alias("weights"))
         return vectors.select(row, "numbers").join(lists, row, "left").withColumn("filled", F.coalesce("filled", F.lit(0)).cast("double"))
 
-    def _random_reference(self) -> float:
-        if self.n_ < 2:
+    def _random_pairs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n < 2:
             raise ValueError("random pairs need at least two auxiliary rows")
-        index = self.index_ if self.small_ else self._sampled(4 * self.reference.n_sampled_pairs)
-        rng, n = np.random.default_rng(self.reference.seed), len(index.ids)
+        rng = np.random.default_rng(self.reference.seed)
         left = rng.integers(0, n, self.reference.n_sampled_pairs)
-        right = (left + rng.integers(1, n, self.reference.n_sampled_pairs)) % n
+        return left, (left + rng.integers(1, n, self.reference.n_sampled_pairs)) % n
+
+    def _random_reference(self) -> float:
+        index = self.index_ if self.small_ else self._sampled(4 * self.reference.n_sampled_pairs)
+        left, right = self._random_pairs(len(index.ids))
         out = []
         for a, b in zip(left.tolist(), right.tolist(), strict=True):
             (x, g, u, f), (y, h, v, e) = index.vector(a), index.vector(b)
@@ -276,6 +355,86 @@ class Joiner:
         twice = lambda c: F.when(F.col(c).isNotNull(), F.col(c))
         return ready.withColumn("__near", near.asNondeterministic()(twice("__grams"), twice("__numbers")))
 
+    def _line_near(self):
+        """``(index, numbers) -> aux, d, ref`` of each number, for a join on one number or time."""
+        k, reference, scale = self.k_, self.reference, self.scales_[self.aux_keys_[0]][1]
+        fixed = 1.0 if self.reference_ is None else self.reference_
+
+        def near(index: _Line, x: np.ndarray) -> pd.DataFrame:
+            ids, values, d = index.nearest(x, k)
+            ref = np.full(len(x), fixed)
+            if isinstance(reference, OtherNeighbor):
+                ref = d[:, -1] / scale
+            elif isinstance(reference, SelfJoinNeighbor):
+                own, place = np.unique(values[:, 0], return_inverse=True)
+                ref = (index.nearest(own, reference.reference_neighbor + 1)[2][:, -1] / scale)[place]
+            met = ~np.isnan(d[:, 0])
+            columns = {"aux": pd.array(ids[:, 0], "Int64"), "d": pd.array(d[:, 0] / scale, "Float64"), "ref": pd.array(ref, "Float64")}
+            out = pd.DataFrame(columns)
+            out.loc[~met, ["aux", "d", "ref"]] = pd.NA
+            out.loc[np.isnan(ref), "ref"] = pd.NA
+            return out
+
+        return near
+
+    def _on_line(self, X: DataFrame) -> DataFrame:
+        """``X`` with ``__near``, of an index that every task holds."""
+        held, near = X.sparkSession.sparkContext.broadcast(self.index_), self._line_near()
+
+        @F.pandas_udf("aux long, d double, ref double")
+        def found(place: pd.Series) -> pd.DataFrame:
+            return near(held.value, place.to_numpy(float))
+
+        ready = X.withColumn("__place", self._place(X, self.main_keys_[0]))
+        return ready.withColumn("__near", found.asNondeterministic()(F.when(F.col("__place").isNotNull(), F.col("__place"))))
+
+    def _stretched(self, numbered: DataFrame) -> DataFrame:
+        """``(__main, __near)``: each main row looks into its stretch of the sorted auxiliary rows.
+
+        Stretches hold about ``BROADCAST_ROWS`` auxiliary rows, of each number the
+        first few only, and some rows of those beside them; main rows of a stretch
+        are dealt out by ``MAIN_ROWS``.
+        """
+        near, keep = self._line_near(), self.keep_
+        n = -(-self.places_.count() // BROADCAST_ROWS)
+        asked = F.percentile_approx("place", F.array(*[F.lit(i / n) for i in range(1, n)]), max(10_000, 20 * n)) if n > 1 else F.array().cast("array<double>")
+        cuts = np.unique(self.places_.agg(asked).first()[0] or [])
+        stretch = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("place"))).cast("int")
+        points = self.places_.withColumn("stretch", stretch)
+        main = numbered.select("__main", self._place(numbered, self.main_keys_[0]).alias("place")).withColumn("stretch", stretch)
+
+        # Rows that lie next to a stretch: a match is at most 2 * keep rows away, and its own neighbours as many more.
+        width = 4 * keep
+
+        def ends(frame: pd.DataFrame) -> pd.DataFrame:
+            ordered = frame.sort_values(["place", "__aux"])
+            return ordered if len(ordered) <= 2 * width else pd.concat([ordered.iloc[:width], ordered.iloc[-width:]])
+
+        edge = points.groupBy("stretch").applyInPandas(ends, points.schema).toPandas().sort_values(["place", "__aux"])  # a few rows a stretch
+        lowest = self.places_.orderBy("__aux").limit(keep).toPandas()  # ties without end, as of an infinite number
+        at = edge["stretch"].to_numpy()
+        beside = {}
+        for j in range(len(cuts) + 1):
+            rows = pd.concat([edge[at < j].iloc[-width:], edge[at > j].iloc[:width], lowest])[["__aux", "place"]]
+            beside[j] = rows["__aux"].to_numpy(np.int64), rows["place"].to_numpy(float)
+        margins = numbered.sparkSession.sparkContext.broadcast(beside)
+
+        sizes = {r["stretch"]: r["count"] for r in main.groupBy("stretch").count().collect()}  # a row a stretch
+        parts = F.get(F.array(*[F.lit(max(1, -(-sizes.get(j, 0) // MAIN_ROWS))) for j in range(len(cuts) + 1)]), F.col("stretch"))
+        left = main.withColumn("part", F.pmod(F.xxhash64("__main"), parts).cast("int"))
+        right = points.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+        def best(key: tuple, rows: pd.DataFrame, aux: pd.DataFrame) -> pd.DataFrame:
+            ids, values = margins.value[int(key[0])]
+            ids, once = np.unique(np.concatenate([aux["__aux"].to_numpy(np.int64), ids]), return_index=True)
+            index = _Line(ids, np.concatenate([aux["place"].to_numpy(float), values])[once], keep)
+            out = near(index, rows["place"].to_numpy(float))
+            return out.assign(__main=rows["__main"].to_numpy())[["__main", "aux", "d", "ref"]]
+
+        both = left.groupBy("stretch", "part").cogroup(right.groupBy("stretch", "part"))
+        found = both.applyInPandas(best, "__main long, aux long, d double, ref double")
+        return found.select("__main", F.struct("aux", "d", "ref").alias("__near"))
+
     def _neighbors(self, vectors: DataFrame, row: str, k: int) -> DataFrame:
         """``(row, __aux, d, rank)`` of the k nearest auxiliary rows, beyond what one task can hold."""
         if all(kind == "string" for kind in self.kinds_):
@@ -351,7 +510,10 @@ class Joiner:
 
     def transform(self, X: DataFrame) -> DataFrame:
         if self.small_:
-            rows = self._matched(X)
+            rows = self._on_line(X) if self.line_ else self._matched(X)
+        elif self.line_:
+            numbered = durable(X.withColumn("__main", F.monotonically_increasing_id()))
+            rows = numbered.join(self._stretched(numbered), "__main", "left")
         else:
             numbered = durable(X.withColumn("__main", F.monotonically_increasing_id()))
             vectors = durable(self._weighted(self._vectors(numbered, self.main_keys_, "__main"), "__main"))
@@ -374,7 +536,9 @@ class Joiner:
         names = fresh_names([f"{c}{self.suffix}" for c in self.aux.columns], X.columns)
         aux = self.aux_.select("__aux", *[quoted(c).alias(n) for c, n in zip(self.aux.columns, names, strict=True)])
         aux = F.broadcast(aux) if self.small_ else aux  # at most BROADCAST_ROWS rows
-        joined = rows.withColumn("__aux", F.when(F.col("__ok"), F.col("__near.aux"))).join(aux, "__aux", "left")
+        found = F.when(F.col("__ok"), F.col("__near.aux"))
+        found = found if self.small_ else F.coalesce(found, -1 - F.col("__main"))  # rows without a match spread over all tasks
+        joined = rows.withColumn("__aux", found).join(aux, "__aux", "left")
         info = [d.cast("float").alias("match_distance"), F.col("__scaled").cast("float").alias("match_rescaled_distance"), F.col("__ok").alias("match_accepted")]
         return joined.select(*[quoted(c) for c in X.columns], *[quoted(n) for n in names], *(info if self.info else []))
 

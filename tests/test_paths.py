@@ -38,6 +38,30 @@ def test_joiner_beyond_one_index(spark, monkeypatch, keys, ref):
     assert near[0] == near[1]
 
 
+@pytest.mark.parametrize("ref", ["random_pairs", "second_neighbor", "self_join_neighbor", "no_rescaling"])
+@pytest.mark.parametrize("most", [100_000, 40])
+def test_joiner_on_one_number(spark, monkeypatch, ref, most):
+    """Cents over a wide range: the nearest by the numbers themselves, in stretches of the sorted rows, never block by block."""
+    monkeypatch.setattr(fuzzy, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(fuzzy, "MAIN_ROWS", 30)
+    monkeypatch.setattr(Joiner, "_blocked", None)
+    rng = np.random.default_rng(7)
+    right = np.append(rng.integers(0, 400, 300), [10**9] * 3) / 100
+    left = np.append(rng.integers(-20, 420, 200), [10**9 - 1, 10**9 + 5]) / 100
+    aux = spark.createDataFrame([(float(x), j) for j, x in enumerate(right)], "x double, n int")
+    main = spark.createDataFrame([(float(x), j) for j, x in enumerate(left)], "x double, m int")
+    joiner = Joiner(aux, key="x", suffix="_r", ref_dist=ref).fit(main)
+    got = {r["m"]: r for r in joiner.transform(main).collect()}
+    scale = 1.0 if ref == "no_rescaling" else right.std()
+    for j, x in enumerate(left):
+        d = np.abs(x - right)
+        near = np.lexsort((np.arange(len(right)), right, d))
+        own = np.sort(np.abs(right[near[0]] - right))[1]
+        low = {"second_neighbor": d[near[1]] / scale, "self_join_neighbor": own / scale, "no_rescaling": 1.0}.get(ref, joiner.reference_)
+        assert got[j]["n_r"] == near[0] and got[j]["match_distance"] == pytest.approx(d[near[0]] / scale, rel=1e-6)
+        assert got[j]["match_rescaled_distance"] == pytest.approx(0.0 if d[near[0]] == 0 else d[near[0]] / scale / low if low else np.inf, rel=1e-6)
+
+
 def test_quantiles_by_narrowing(spark, monkeypatch):
     monkeypatch.setattr(stats, "BRACKET_VALUES", 50)
     rng = np.random.default_rng(5)
