@@ -2,12 +2,13 @@
 
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tablewright import stats
+from tablewright import plans, stats
 from tablewright.functions import char_ngrams, is_sorted, to_float32
 from tablewright.operators import ApplyToCols, GapEncoder, Joiner, MinHashEncoder, SelfJoinNeighbor, SimilarityEncoder, StringEncoder, check_input, convert_time_zone, fuzzy, time_zone_of, wrap_transformer
 from tablewright.operators.columns import OneHot
@@ -62,6 +63,18 @@ def test_joiner_on_one_number(spark, monkeypatch, ref, most):
         assert got[j]["match_rescaled_distance"] == pytest.approx(0.0 if d[near[0]] == 0 else d[near[0]] / scale / low if low else np.inf, rel=1e-6)
 
 
+@pytest.mark.parametrize("name", ["fuzzy_join_second_neighbor", "fuzzy_join_self_neighbor"])
+def test_balances_with_twins(spark, tmp_path, name):
+    """A distance of 0 is half of a reference of 0: such rows are left out, as in SQL."""
+    spark.createDataFrame([(1, 10.0), (2, 10.0), (3, 50.0), (4, 90.0)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(1, 10.0), (2, 50.0), (3, 60.5)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(plans.ORACLES[name]).fetchall(), key=str)
+    assert rows(plans.QUERIES[name](spark, str(tmp_path))) == want and len(want) == 2
+
+
 def test_quantiles_by_narrowing(spark, monkeypatch):
     monkeypatch.setattr(stats, "BRACKET_VALUES", 50)
     rng = np.random.default_rng(5)
