@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tablewright import plans, stats
 from tablewright.functions import char_ngrams, is_sorted, to_float32
-from tablewright.operators import ApplyToCols, GapEncoder, Joiner, MinHashEncoder, SelfJoinNeighbor, SimilarityEncoder, StringEncoder, check_input, convert_time_zone, fuzzy, time_zone_of, wrap_transformer
-from tablewright.operators.columns import OneHot
+from tablewright.functions.strings import grams_of
+from tablewright.operators import ApplyToCols, GapEncoder, Joiner, MinHashEncoder, SelfJoinNeighbor, SimilarityEncoder, StringEncoder, check_input, convert_time_zone, encoders, fuzzy, time_zone_of, wrap_transformer
+from tablewright.operators.columns import OneHot, with_shared
 from tablewright.plans import X, choose_bool, deferred, evaluate, var
 from tablewright.sources import load_dataset_files
 
@@ -134,6 +135,33 @@ def test_string_encoders(spark):
         strict.transform(frame).collect()
 
 
+def test_encoders_pay_once_a_text(spark, monkeypatch):
+    """A text in many rows is encoded once; rows of rare and new texts get what they got."""
+    words = ["apple pie", "Apple  tart", "car door", "car wheel", "", None]
+    frame = spark.createDataFrame([(j, words[j % 6]) for j in range(600)] + [(600, "plum jam")], "n int, t string").coalesce(1)
+    read = []
+    summed = encoders._summed
+    monkeypatch.setattr(encoders, "_summed", lambda rows, *more: (read.append(rows.count()), summed(rows, *more))[1])
+    model = StringEncoder(3).fit(frame, "t")
+    assert read and set(read) == {7} and set(model.known) == {w for w in words if w is not None}
+    more = frame.union(spark.createDataFrame([(700, "pear door")], "n int, t string"))
+    values = lambda m: {r["n"]: list(r)[1:] for r in with_shared(more, {"t": m}).select("n", *m.exprs(more.schema["t"])).collect()}
+    got = values(model)
+    model.known, model.table = [], model.table[:0]
+    want = values(model)
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n], abs=1e-6) for n in want)
+    # as the decomposition of all rows gives it
+    x = np.array([got[n] for n in range(601)])
+    assert x.var(axis=0).sum() == pytest.approx(1.0, abs=1e-5)
+
+
+def test_grams_take_their_text_once(spark):
+    """Inside a function over an array its text would be made again for each gram."""
+    for analyzer in ("char_wb", "char", "word"):
+        plan = spark.createDataFrame([("a b",)], "t string").select(grams_of(F.col("t"), analyzer, 2, 4).alias("g"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("lower(") == 1
+
+
 def test_checks_and_wrappers(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a")], "n int, c string")
     assert check_input(frame, frame.schema) is frame
