@@ -76,6 +76,18 @@ def test_balances_with_twins(spark, tmp_path, name):
     assert rows(plans.QUERIES[name](spark, str(tmp_path))) == want and len(want) == 2
 
 
+def test_vectorized_documents_keep_their_texts(spark, tmp_path):
+    """Blank texts and names of missing values are texts, as in SQL."""
+    texts = ["", " ", "...", "None", "n/a", None, *[f"text {j}" for j in range(8)]]
+    data = [(j, t, ["de", "en", "es", "fr"][j % 4], len(t or "")) for j, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(plans.ORACLES["vectorize_documents"])
+    got = plans.QUERIES["vectorize_documents"](spark, str(tmp_path)).select(*want.columns)
+    assert rows(got) == sorted(want.fetchall(), key=str)
+
+
 def test_quantiles_by_narrowing(spark, monkeypatch):
     monkeypatch.setattr(stats, "BRACKET_VALUES", 50)
     rng = np.random.default_rng(5)
